@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import bpe, packing
+from framelake.llm import bpe, packing, pii
 from framelake.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +44,20 @@ def p8_use(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _redactor(spark: SparkSession, d: str) -> pii.Redactor:
+    return pii.fit(table(spark, d, "documents"), table(spark, d, "members"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.spans(table(spark, d, "documents"), _redactor(spark, d))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"), _redactor(spark, d))
+
+
 def queries() -> dict[str, Query]:
-    return {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_use": p8_use}
+    return {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_use": p8_use, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
