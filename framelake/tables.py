@@ -28,7 +28,7 @@ def ticks_of(column: Column | str) -> Column:
 
 def month_of_ticks(column: Column | str) -> Column:
     ticks = F.col(column) if isinstance(column, str) else column
-    day = F.date_add(F.to_date(F.lit("1970-01-01")), F.floor(ticks / TICKS_PER_DAY).cast("int"))
+    day = F.date_add(F.to_date(F.lit("1970-01-01")), ((ticks - F.pmod(ticks, F.lit(TICKS_PER_DAY))) / TICKS_PER_DAY).cast("int"))
     return F.date_format(day, "yyyy-MM")
 
 
