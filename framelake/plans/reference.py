@@ -404,7 +404,7 @@ def diff_map(spark, d):
 
 @query("post_process_clamp", f"""
 WITH {_P}, h AS (SELECT *, CASE WHEN health IS NULL OR isnan(health) THEN health::DOUBLE ELSE greatest(0, least(100, health))::DOUBLE END AS h FROM p)
-SELECT replay_id, unique_id, count_if(h IS DISTINCT FROM health::DOUBLE) AS n_clamped, count_if(h < 50) AS n_low, count_if(CASE WHEN h <= 0 THEN false ELSE is_alive END) AS n_alive FROM h GROUP BY ALL
+SELECT replay_id, unique_id, count_if(h IS DISTINCT FROM health::DOUBLE)::BIGINT AS n_clamped, count_if(h < 50)::BIGINT AS n_low, count_if(CASE WHEN h <= 0 THEN false ELSE is_alive END)::BIGINT AS n_alive FROM h GROUP BY ALL
 """)
 def post_process_clamp(spark, d):
     chain = mutate.Chain(mutate.Clamp("health", count=True), mutate.Alive())
