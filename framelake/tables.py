@@ -34,3 +34,13 @@ def month_of_ticks(column: Column | str) -> Column:
 
 def is_blank(column: Column) -> Column:
     return column.isNull() | (F.trim(column) == "")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, where a scan gives fewer.
+
+    For work that costs far more than a shuffle of its rows. A scan of many files or blocks has
+    more partitions than cores already and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
