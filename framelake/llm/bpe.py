@@ -26,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from framelake.tables import spread
+
 #: Fixed value: how the byte-level vocabularies split a text into words before merging.
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words and arcs that are kept; beyond that they are forgotten, which costs time only.
@@ -180,7 +182,7 @@ def encode_texts(docs: DataFrame, automaton: MergeAutomaton, key: str = "doc_id"
             ids = pa.array([encode(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
 
-    return docs.select(key, text).mapInArrow(walk, f"`{key}` {kind}, ids array<int>")
+    return spread(docs.select(key, text)).mapInArrow(walk, f"`{key}` {kind}, ids array<int>")
 
 
 def count_tokens(docs: DataFrame, automaton: MergeAutomaton, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,7 +196,7 @@ def count_tokens(docs: DataFrame, automaton: MergeAutomaton, key: str = "doc_id"
             n = pa.array([len(encode(t)) for t in batch.column(1).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), n], names=[key, "n_tokens"])
 
-    return docs.select(key, text).mapInArrow(walk, f"`{key}` {kind}, n_tokens int")
+    return spread(docs.select(key, text)).mapInArrow(walk, f"`{key}` {kind}, n_tokens int")
 
 
 def decode_ids(rows: DataFrame, automaton: MergeAutomaton, key: str = "doc_id", ids: str = "ids") -> DataFrame:
