@@ -50,14 +50,13 @@ def find_orphans(
     (all begin after it).
 
     Repeated rows of ``refs`` stay repeated; an empty parent makes every claim ``missing``;
-    other columns pass through, also where the parent has columns of the same names.
+    other columns pass through, also where the parent has columns of the same names, but for an
+    own column ``reason``, which is replaced.
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
     keys, parent_keys = list(keys), list(parent_keys or keys)
-    refs = _blank_to_null(refs, keys)
-    if "reason" in refs.columns:
-        raise ValueError("refs has a column named reason")
+    refs = _blank_to_null(refs.drop("reason"), keys)
     side = {p: f"__p{i}" for i, p in enumerate(parent_keys)}
     columns = [F.col(p).alias(a) for p, a in side.items()]
     if moment:

@@ -8,7 +8,7 @@ robust spread (median absolute deviation) in that source; those far beyond it, o
 two sides agree, are spikes. Runs of zero detail while the source moves are stuck readings, and
 bounds find impossible ones.
 
-Rows are shuffled once by (source, block of frames); long courses are cut into blocks that
+Copies are combined first, then rows are shuffled by (source, block of frames); long courses are cut into blocks that
 overlap by ``HALO`` frames, so no source is gathered in one task. Batches hold many sources and
 are computed at once with numpy.
 """
@@ -260,6 +260,8 @@ def implausible(states: DataFrame, limits: Limits = Limits(), block: int = 4096,
         *[cast(f"{n}.{a}").alias(f"{n[0]}{a}") for n in ("position", "velocity") for a in "xyz"],
         cast("health").alias("health"), "arrived_at", number.alias("__own"), F.explode(blocks).alias("block"),
     )
+    # copies of a reading are combined before they meet, however many there are
+    rows = rows.groupBy(*[c for c in rows.columns if c != "arrived_at"]).agg(F.max("arrived_at").alias("arrived_at"))
     rows = rows.withColumn("owned", F.col("block") == F.col("__own")).drop("__own")
     keys = ["replay_id", "unique_id", "block"]
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, "frame_index", F.col("arrived_at").desc_nulls_last()).drop("arrived_at")

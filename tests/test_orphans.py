@@ -30,6 +30,7 @@ def test_empty_tables_repeats_and_clashing_columns(spark):
     assert find_orphans(refs.limit(0), empty, ["id"]).count() == 0
     found = find_orphans(refs, spark.createDataFrame([("y", 1, 2)], empty.schema), ["id"], moment="f", valid_from="f", valid_to="t")
     assert orphan_report(found, ["id"]).collect() == [("x", "missing", 2)]
+    assert [r.reason for r in find_orphans(refs.withColumn("reason", F.lit("old")), empty, ["id"]).collect()] == ["missing"] * 2
     with pytest.raises(ValueError):
         find_orphans(refs, empty, ["id"], match="other")
 
