@@ -133,3 +133,16 @@ def path_text(unique_id: Column, prop: Column, slot: Column | None = None, key:
     if key is not None:
         text = F.concat(text, F.when(key.isNotNull(), F.concat(F.lit("{"), key, F.lit("}"))).otherwise(""))
     return text
+
+
+def resolve(patch: DataFrame, frame: DataFrame, properties: Sequence[str], keys: Sequence[str] = ("unique_id",)) -> DataFrame:
+    """``patch`` with ``found`` (the entity is in the frame) and ``value`` (its property's text): the data an operation points to."""
+    keys = list(keys)
+    value = F.coalesce(*[F.when(F.col("property") == p, F.col(f"__v.{p}").cast("string")) for p in properties])
+    held = frame.select(*keys, F.struct(*properties).alias("__v"))
+    return patch.join(held, keys, "left").withColumns({"found": F.col("__v").isNotNull(), "value": value}).drop("__v")
+
+
+def is_ancestor(path: Column, other: Column) -> Column:
+    """Whether a path (an array of steps) leads to another one below it."""
+    return (F.size(path) < F.size(other)) & (F.slice(other, 1, F.size(path)) == path)

@@ -97,3 +97,16 @@ def footer_summary(clock: DataFrame) -> DataFrame:
     """(replay_id, total_frames, duration_ticks, avg_fps); avg_fps only where both are above zero."""
     out = clock.groupBy("replay_id").agg(F.count("*").alias("total_frames"), (F.max("utc_ticks") - F.min("utc_ticks")).alias("duration_ticks"))
     return out.withColumn("avg_fps", F.when((F.col("total_frames") > 0) & (F.col("duration_ticks") > 0), F.col("total_frames") * float(TICKS) / F.col("duration_ticks")))
+
+
+def last_chunk(clock: DataFrame, max_frames: int = 1000) -> DataFrame:
+    """The frames of each recording's last chunk."""
+    rows = numbered(clock).withColumn("chunk_index", chunk_of(F.col("marker"), max_frames))
+    top = rows.groupBy("replay_id").agg(F.max("chunk_index").alias("chunk_index"))
+    return rows.join(top, ["replay_id", "chunk_index"], "left_semi")
+
+
+def append_times(times: DataFrame, more: DataFrame) -> DataFrame:
+    """Times of a growing recording: frames already there stay as they are."""
+    new = more.join(times.select("replay_id", "frame_index"), ["replay_id", "frame_index"], "left_anti")
+    return times.unionByName(new.select(times.columns))

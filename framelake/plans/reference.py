@@ -13,6 +13,7 @@ from framelake.functions import arrays, text
 from framelake.functions import time as ticks
 from framelake.operators import analysis, diff, mutate, timeline
 from framelake.operators.predicates import contains, search
+from framelake.operators.tree import property_tree
 from framelake.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -447,6 +448,57 @@ def missing_fields(spark, d):
     return mutate.missing_fields(players(spark, d), {0: TYPES[0][2]})
 
 
+@query("property_tree", f"""
+WITH {_P}, v AS (SELECT replay_id, frame_index, unique_id, unnest([{{'path': 'team', 'value': team::VARCHAR}}, {{'path': 'score', 'value': score::VARCHAR}}, {{'path': 'is_alive', 'value': is_alive::VARCHAR}}, {{'path': 'name', 'value': name}}]) AS x FROM p)
+SELECT replay_id, frame_index, unique_id, x.path AS path, x.value AS value FROM v
+""")
+def property_tree_query(spark, d):
+    return property_tree(players(spark, d), ["replay_id", "frame_index", "unique_id"], ["team", "score", "is_alive", "name"])
+
+
+@query("patch_resolve", f"""
+WITH {_DIFF}, b2 AS (SELECT * FROM p WHERE frame_index = 60)
+SELECT j.replay_id, j.unique_id, j.x.property AS property, b2.unique_id IS NOT NULL AS found,
+  CASE j.x.property WHEN 'team' THEN b2.team::VARCHAR WHEN 'score' THEN b2.score::VARCHAR WHEN 'deaths' THEN b2.deaths::VARCHAR WHEN 'is_alive' THEN b2.is_alive::VARCHAR END AS value
+FROM j LEFT JOIN b2 ON j.replay_id = b2.replay_id AND j.unique_id = b2.unique_id WHERE j.x.property IS DISTINCT FROM 'health'
+""")
+def patch_resolve(spark, d):
+    patch = _patch(spark, d).where(~F.col("property").eqNullSafe("health"))
+    found = diff.resolve(patch, frame_at(players(spark, d), 60), _SLOTS, ["replay_id", "unique_id"])
+    return found.select("replay_id", "unique_id", "property", "found", "value")
+
+
+@query("last_chunk", f"WITH {_C}, m AS (SELECT *, (marker - 1) // 40 AS ch, max((marker - 1) // 40) OVER (PARTITION BY replay_id) AS top FROM k) SELECT replay_id, frame_index, marker FROM m WHERE ch = top")
+def last_chunk(spark, d):
+    return timeline.last_chunk(clock(spark, d), 40).select("replay_id", "frame_index", "marker")
+
+
+@query("sanitize_by_type", f"""
+WITH {_P} SELECT replay_id, frame_index, unique_id, 'Player' AS type_name, greatest(team, 0) + 10 AS team FROM p
+UNION ALL SELECT DISTINCT replay_id, frame_index, lower(trim(unique_id)), 'Projectile', -1 FROM projectiles UNION ALL SELECT DISTINCT replay_id, frame_index, lower(trim(unique_id)), 'MatchState', -1 FROM match_states
+""")
+def sanitize_by_type(spark, d):
+    clean = mutate.Sanitizers().add(0, "team", lambda c: F.greatest(c, F.lit(0)) + 10)
+    return clean.process(frames(spark, d)).select("replay_id", "frame_index", "unique_id", "type_name", F.coalesce("team", F.lit(-1)).alias("team"))
+
+
+@query("replay_roundtrip")
+def replay_roundtrip(spark, d):
+    """Players written to container files and read back, in the shared folder; rows that come back other than they went (none)."""
+    import json
+
+    from framelake.session import checkpoint_dir
+    from framelake.sources import replay
+
+    kinds = {"name": "String", "team": "Int32", "score": "Int32", "deaths": "Int32", "position": "Vector"}
+    schema = json.dumps({"version": "1.0.0", "buckets": ["entity"], "property_mapping": [{"struct": "Player", "values": [{"name": n, "typeId": t} for n, t in kinds.items()]}]})
+    rows = players(spark, d).where(F.col("name").isNotNull() & F.col("position").isNotNull() & F.col("team").isNotNull())
+    at = f"{checkpoint_dir(spark).removeprefix('file:')}/replay_roundtrip"
+    replay.write_replays(rows.withColumn("created_utc_ticks", F.col("utc_ticks")), at, schema, max_frames=40)
+    back = replay.read_replays(spark, at).select("replay_id", F.col("created_utc_ticks").alias("utc_ticks"), "unique_id", *kinds)
+    return rows.select(back.columns).exceptAll(back)
+
+
 # --- functions
 
 

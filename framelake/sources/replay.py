@@ -547,6 +547,26 @@ def metadata(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+def raw_frames(spark: SparkSession, path: str) -> DataFrame:
+    """(replay_id, frame_index, raw): bucket 0 of each frame as encoded bytes of its file's encoding."""
+    files = [ReplayFile.open(f) for f in _files(path)]
+    work = [(r.path, *c.values()) for r in files for c in r.seek_table()]
+    plan = spark.createDataFrame(work, "path string, chunk_index int, start_frame int, end_frame int, file_offset long, chunk_size_bytes long").repartition(max(1, len(work)))
+
+    def walk(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                replay = ReplayFile.open(row.pop("path"))
+                encode = _codec(replay.backend)[0]
+                raw = [encode("Bucket", (f.get("data") or [{}])[0]) for f in replay.chunk(row)]
+                n = len(raw)
+                yield pa.RecordBatch.from_arrays([pa.array([replay.replay_id] * n, pa.string()), pa.array(range(row["start_frame"], row["start_frame"] + n), pa.int32()), pa.array(raw, pa.binary())], names=["replay_id", "frame_index", "raw"])
+
+    return plan.mapInArrow(walk, "replay_id string, frame_index int, raw binary")
+
+
 def content_hashes(rows: DataFrame, schema_text: str) -> DataFrame:
     """(replay_id, frame_index, unique_id, content_hash): the format's own 64-bit token, computed in Arrow batches."""
     import pyarrow as pa

@@ -430,3 +430,26 @@ def test_exports(spark, tmp_path):
     assert tuple(unique_table(groups, ["p"]).first()) == ("x", 2, "a;b")
     spans = spark.createDataFrame([("r", "a", "p", None, 0, 3, 0, 5_000_000)], "replay_id string, unique_id string, property string, value string, start_frame int, end_frame int, start_ticks long, end_ticks long")
     assert tuple(span_table(spans).first())[1:] == ("a", "p", "", "[0-3]", "[0.00s-0.50s]")
+
+
+def test_labels_tree_and_small_things(spark, tmp_path):
+    from framelake.functions import labels
+    from framelake.operators.tree import property_tree
+    from framelake.sources.replay import raw_frames
+
+    df = spark.createDataFrame([("e", ([("k", 1.5)], {"m": 2}, (1.0, 2.0, 3.0)), None)], "id string, p struct<a:array<struct<n:string,w:double>>,b:map<string,int>,c:struct<x:double,y:double,z:double>>, q array<int>")
+    got = {r.path: r.value for r in property_tree(df, ["id"], ["p", "q"]).collect()}
+    assert got == {"p.a[0].n": "k", "p.a[0].w": "1.5", "p.b{m}": "2", "p.c": "(1.00,2.00,3.00)", "q": None}
+    ask = lambda *c: tuple(df.select(*c).first())
+    assert ask(labels.offset_label(F.lit(255)), labels.location_label(F.col("p.c")), labels.game_time_label(F.lit(1.5))) == ("0xFF", "(1, 2, 3)", "1.50s")
+    assert ask(*labels.clock_parts(F.lit(3661), F.lit(60)).values()) == (1, 1, 1) and ask(*labels.clock_parts(F.lit(31), F.lit(0)).values()) == (0, 1, 1)
+    assert ask(*labels.visible_range(F.lit(25), F.lit(30), F.lit(10), F.lit(100))) == (2, 6) and labels.playback(0, 2, 99, 10, 1000) == 200 and labels.playback(5, -9, 1, 10, 20) == 0
+    assert ask(diff.is_ancestor(F.array(F.lit("a")), F.array(F.lit("a"), F.lit("b"))), diff.is_ancestor(F.array(F.lit("b")), F.array(F.lit("a"), F.lit("b")))) == (True, False)
+    w = RecordingWriter(str(tmp_path / "a.replay"), SCHEMA, replay_id="a", max_frames=3)
+    for r in rows(7):
+        w.add_row(r)
+    w.close()
+    raw = {r.frame_index: bytes(r.raw) for r in raw_frames(spark, str(tmp_path)).collect()}
+    assert sorted(raw) == list(range(7)) and codec.decode_tables("Bucket", raw[4])["unique_ids"] == ["player_0"]
+    times = spark.createDataFrame([("a", 0, 5)], "replay_id string, frame_index int, t int")
+    assert timeline.append_times(times, spark.createDataFrame([("a", 0, 9), ("a", 1, 6)], times.schema)).orderBy("frame_index").collect() == [("a", 0, 5), ("a", 1, 6)]
