@@ -197,7 +197,7 @@ class Session:
             near = closest(prop, rows.columns)
             raise Refusal(f"no property {prop}", f"did you mean {near}?" if near else None)
         found = track(rows, who, prop, int(start), int(end), int(step)).orderBy("replay_id", "frame_index")
-        return [r.asDict() for r in found.collect()]
+        return [r.asDict() for r in found.drop("unique_id").collect()]
 
     def do_diff(self, a: str, b: str, flag: str | None = None, epsilon: str = "1e-5"):
         rows = self._need()

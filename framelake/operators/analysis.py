@@ -53,6 +53,8 @@ def unique_properties(rows: DataFrame, properties: Sequence[str]) -> DataFrame:
     return distinct.groupBy(*properties).agg(F.count("*").alias("n_entities"), F.sort_array(F.collect_list("unique_id")).alias("unique_ids"))
 
 
-def track(rows: DataFrame, unique_id: str, prop: str, start: int, end: int, step: int = 1) -> DataFrame:
-    """A property of one entity at frames start, start + step, ... ; frames without it are skipped."""
-    return frame_stride(rows.where(F.col("unique_id") == unique_id), start, end, step).select("replay_id", "frame_index", F.col(prop).alias("value"))
+def track(rows: DataFrame, unique_id: str | None, prop: str, start: int, end: int, step: int = 1) -> DataFrame:
+    """A property of one entity (None: of all) at frames start, start + step, ... ; frames without it are skipped."""
+    if unique_id is not None:
+        rows = rows.where(F.col("unique_id") == unique_id)
+    return frame_stride(rows, start, end, step).select("replay_id", "frame_index", "unique_id", F.col(prop).alias("value"))

@@ -222,7 +222,7 @@ def entries(value: dict, tables: frozenset[str], path: str = "", place: str = ""
         here = f"{path}.{name}" if path else name
         v = _opened(v)
         if here in tables:
-            given = v if isinstance(v, list) else [] if v is None else [v]
+            given = v if isinstance(v, list) else [v] if isinstance(v, dict) else []
             for i, entry in enumerate(given):
                 entry = _opened(entry)
                 if entry is None:
@@ -241,7 +241,7 @@ def shred(docs: DataFrame, record: str, body: str, graph: Graph, marks: Sequence
     node is the element's path in the graph and '' for the root, path its position below its
     parent's path, fields its inlined columns as text. Bodies that are null, cut or no JSON give
     no rows; a list given as one object or as JSON text is read as a list; a null list, a null
-    entry or an absent key gives no rows. One narrow pass, no shuffle.
+    entry, an absent key, or a bare text or number in a list's place gives no rows. One narrow pass, no shuffle.
     """
     tables, roots = frozenset(graph.tables), frozenset(marks)
     kind = docs.schema[record].dataType.simpleString()

@@ -86,10 +86,10 @@ def unique_properties(spark, d):
 
 
 @query("track_sample_step", f"""
-WITH {_P} SELECT replay_id, frame_index, health::DOUBLE AS value FROM p WHERE unique_id = 'plr-00000001' AND frame_index BETWEEN 10 AND 90 AND (frame_index - 10) % 7 = 0
+WITH {_P} SELECT replay_id, frame_index, unique_id, health::DOUBLE AS value FROM p WHERE frame_index BETWEEN 10 AND 90 AND (frame_index - 10) % 7 = 0
 """)
 def track_sample_step(spark, d):
-    return analysis.track(players(spark, d), "plr-00000001", "health", 10, 90, 7).withColumn("value", F.col("value").cast("double"))
+    return analysis.track(players(spark, d), None, "health", 10, 90, 7).withColumn("value", F.col("value").cast("double"))
 
 
 # --- predicates

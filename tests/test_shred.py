@@ -13,7 +13,7 @@ BODIES = [
     {"frame_index": 1, "players": [{"id": "a", "pos": {"x": 1, "y": 2.5}, "loadout": [{"item": "gun", "mods": [{"m": 1}, None, {"m": 2}]}, None, {"item": "kit"}]}, None, {"id": "b"}], "match_state": {"phase": "x"}},
     {"data": {"frame": {"frame_index": 2, "Players": json.dumps([{"id": "c", "Loadout": {"item": "one"}}]), "MatchState": None}}},
     {"frame_index": 3, "players": {"id": "d", "pos": [4, 5, 6]}, "projectiles": []},
-    None, "", "{cut", "[1, 2]", '"text"', {"other": 1}, {"frame": {"players": []}},
+    None, "", "{cut", "[1, 2]", '"text"', {"other": 1}, {"frame": {"players": []}}, {"frame_index": 4, "players": "", "match_state": 7}, {"frame_index": 5, "players": "null", "projectiles": "[]"},
 ]
 
 
@@ -39,7 +39,7 @@ def test_typed_tables_keep_their_parents(spark):
     loadout = shred.flat_table(long, "frame_id", graph, "players.loadout")
     parents = loadout.select("frame_id", "path").withColumnRenamed("path", "parent_path")
     assert mods.join(parents, ["frame_id", "parent_path"]).count() == mods.count() == 2
-    assert {r.frame_index for r in shred.flat_table(long, "frame_id", graph, "").collect()} == {1, 2, 3, None}
+    assert {r.frame_index for r in shred.flat_table(long, "frame_id", graph, "").collect()} == {1, 2, 3, 4, 5, None}
 
 
 def test_recursion_and_empty(spark):
