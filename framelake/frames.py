@@ -26,11 +26,14 @@ PROPERTIES = tuple(dict.fromkeys(p for _, _, ps in TYPES.values() for p in ps))
 
 
 def latest(rows: DataFrame, keys: Sequence[str] = KEYS, delivered: str = "arrived_at") -> DataFrame:
-    """The last delivered row of each key. The sort serves windows by the leading keys in frame order as well."""
+    """The last delivered row of each key.
+
+    Rows are placed by the keys but the frame, which later windows over an entity's frames need
+    as well, while filters on any key (a frame, a recording) still go down to the scan.
+    """
     source = [k for k in keys if k != "frame_index"]
-    w = W.partitionBy(*source).orderBy("frame_index", F.col(delivered).desc_nulls_last())
-    marked = rows.withColumns({"__seen": F.lag("frame_index").over(w), "__first": F.row_number().over(w) == 1})
-    return marked.where(F.col("__first") | ~F.col("__seen").eqNullSafe(F.col("frame_index"))).drop("__seen", "__first")
+    w = W.partitionBy(*source, "frame_index").orderBy(F.col(delivered).desc_nulls_last())
+    return rows.repartition(*source).withColumn("__n", F.row_number().over(w)).where(F.col("__n") == 1).drop("__n")
 
 
 def entities(spark: SparkSession, d: str, type_id: int) -> DataFrame:
