@@ -26,7 +26,7 @@ def lifetimes(rows: DataFrame) -> DataFrame:
     """
     seen = with_frame_before(rows.select("replay_id", "frame_index", "unique_id", "entity_type_id"))
     follows = lambda prev, cur: prev("frame_index") == cur("before")
-    runs = collapse_runs(seen, ["replay_id", "unique_id"], "frame_index", ["frame_index", "before", "entity_type_id"], follows)
+    runs = collapse_runs(seen, ["replay_id", "unique_id"], "frame_index", ["frame_index", "before", "entity_type_id"], follows, combine=False)
     return runs.select("replay_id", "unique_id", F.col("state_entity_type_id").alias("entity_type_id"), F.col("first").alias("start_frame"), F.col("last").alias("end_frame"), F.col("n_events").alias("n_frames"))
 
 
@@ -38,7 +38,7 @@ def value_spans(rows: DataFrame, properties: Sequence[str]) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("property"), F.col(p).cast("string").alias("value")) for p in properties]))
     long = with_frame_before(rows).select("replay_id", "frame_index", "unique_id", "before", pairs.alias("x")).select("replay_id", "frame_index", "unique_id", "before", "x.*")
     same = lambda prev, cur: (prev("frame_index") == cur("before")) & prev("value").eqNullSafe(cur("value"))
-    runs = collapse_runs(long, ["replay_id", "unique_id", "property"], "frame_index", ["frame_index", "before", "value"], same)
+    runs = collapse_runs(long, ["replay_id", "unique_id", "property"], "frame_index", ["frame_index", "before", "value"], same, combine=False)
     return runs.select("replay_id", "unique_id", "property", F.col("state_value").alias("value"), F.col("first").alias("start_frame"), F.col("last").alias("end_frame"))
 
 

@@ -27,6 +27,7 @@ def collapse_runs(
     clock: str | None = None,
     block: int = 8192,
     min_length: int = 1,
+    combine: bool = True,
 ) -> DataFrame:
     """One row a run: keys, first, last (of ``order``), n_events, state_<c> of its first event, duration.
 
@@ -34,7 +35,8 @@ def collapse_runs(
     name to its value in either event; a null result counts as a change. ``tie`` chooses among
     several events of one place: the greatest counts (then the greatest state), the others are
     repeats and are not counted. duration is the difference of ``clock`` (else of ``order``) between the first
-    and last event; null clocks are passed over. Events with a null order are left out, null
+    and last event; null clocks are passed over. ``combine`` is for inputs that may hold many
+    copies of an event; without it results are the same. Events with a null order are left out, null
     keys form sequences like other values; an empty input gives no runs.
     """
     keys, state = list(keys), list(state)
@@ -44,9 +46,9 @@ def collapse_runs(
         *keys, at.alias("__at"), clock_column.alias("__clock"), *[F.col(c).alias(f"__s_{c}") for c in state], *[t.alias(f"__t{i}") for i, t in enumerate(tie)]
     )
     rows = rows.withColumn("__block", F.floor(F.col("__at") / block))
-    # copies of an event are combined before the shuffle, however many there are
-    latest = [F.max(f"__t{i}").alias(f"__t{i}") for i in range(len(tie))]
-    rows = rows.groupBy(*keys, "__at", *[f"__s_{c}" for c in state], "__block").agg(F.min("__clock").alias("__clock"), *latest)
+    if combine:  # copies of an event, before the shuffle, however many there are
+        latest = [F.max(f"__t{i}").alias(f"__t{i}") for i in range(len(tie))]
+        rows = rows.groupBy(*keys, "__at", *[f"__s_{c}" for c in state], "__block").agg(F.min("__clock").alias("__clock"), *latest)
     ties = [F.col(c).desc_nulls_last() for c in (*[f"__t{i}" for i in range(len(tie))], *[f"__s_{c}" for c in state])]
     w = W.partitionBy(*keys, "__block").orderBy("__at", *ties)
     rows = rows.withColumn("__before", F.lag("__at").over(w)).where(~F.col("__before").eqNullSafe(F.col("__at"))).drop(*[f"__t{i}" for i in range(len(tie))])
