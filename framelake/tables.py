@@ -40,7 +40,10 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many partitions as there are cores, where a scan gives fewer.
 
     For work that costs far more than a shuffle of its rows. A scan of many files or blocks has
-    more partitions than cores already and is left as it is.
+    more partitions than cores already and is left as it is; so is what has been shuffled, whose
+    partitions could only be counted by running it.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
