@@ -561,6 +561,107 @@ def timeline_events(spark, d):
     return table(spark, d, "events").select("event_id", ticks_of("ts").alias("game_ticks"), "event_type", F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("entity_unique_id"), F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+# --- without SQL: stateful, binary or many-shaped results
+
+
+@query("ingest_accepted")
+def ingest_accepted(spark, d):
+    """Frames that both the UTC rule and a decreasing clock let in, in order of arrival, with their times, markers and chunks."""
+    from framelake.streaming.ingest import accept_batch
+
+    rows = table(spark, d, "match_states").groupBy("replay_id", "frame_index").agg(F.min("arrived_at").alias("at"), F.min("time_remaining").cast("double").alias("game_time"), F.min("utc_ticks").alias("utc_ticks"))
+    arrival = F.unix_micros(F.col("at").cast("timestamp")) * 1024 + F.col("frame_index") % 1024
+    clocked = rows.select("replay_id", F.col("frame_index").cast("bigint").alias("source_frame"), "game_time", "utc_ticks", arrival.alias("arrival"))
+    return accept_batch(clocked, 40, time_filter="decreasing", increasing=False)
+
+
+@query("bone_pack_roundtrip")
+def bone_pack_roundtrip(spark, d):
+    """Per recording, the greatest error of positions that went through 16-byte transforms."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    from framelake.functions import bones
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settings = bones.BoneSettings(-100.0, 200.0, fine_position=True)
+        for batch in batches:
+            x = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in "xyz"], axis=1)
+            q = np.tile([0.0, 0.0, 0.0, 1.0], (len(x), 1))
+            back = bones.unpack(bones.pack(x, q, np.ones_like(x), settings), settings)[0]
+            yield pa.RecordBatch.from_arrays([batch["replay_id"], pa.array(np.abs(back - x).max(axis=1, initial=0))], names=["replay_id", "error"])
+
+    inside = players(spark, d).select("replay_id", "position.*").where((F.abs("x") <= 60) & (F.abs("y") <= 60) & (F.abs("z") <= 60))
+    return inside.mapInArrow(walk, "replay_id string, error double").groupBy("replay_id").agg(F.max("error").alias("error"), F.count("*").alias("n"))
+
+
+_PLAYER_SCHEMA = '{"version": "1.0.0", "buckets": ["entity"], "property_mapping": [{"struct": "Player", "values": [{"name": "name", "typeId": "String"}, {"name": "team", "typeId": "Int32"}, {"name": "score", "typeId": "Int32"}, {"name": "deaths", "typeId": "Int32"}, {"name": "health", "typeId": "Float"}, {"name": "position", "typeId": "Vector"}]}]}'
+
+
+@query("content_hash_tokens")
+def content_hash_tokens(spark, d):
+    from framelake.sources.replay import content_hashes
+
+    return content_hashes(players(spark, d), _PLAYER_SCHEMA)
+
+
+def _bodies(spark: SparkSession, d: str) -> DataFrame:
+    """The last delivered whole body of each studio's version."""
+    from framelake.operators.drift import version_parts
+
+    files = table(spark, d, "schema_files").where(F.try_parse_json("body").isNotNull())
+    files = files.withColumn("version", version_parts(F.get_json_object("body", "$.version"))).where(F.col("version").isNotNull())
+    return files.groupBy("studio_id", "version").agg(F.max_by("body", F.struct("delivered_at", "file_id")).alias("body"))
+
+
+@query("schema_validation")
+def schema_validation(spark, d):
+    """Issues of every schema file, torn ones included."""
+    import pyarrow as pa
+
+    from framelake.schema import validate
+
+    def walk(batches):
+        for batch in batches:
+            rows = [{"file_id": f, "severity": i.severity, "kind": i.kind, "struct": i.struct, "field": i.field} for f, b in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True) for i in validate(b or "")]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([(c, pa.string()) for c in ("file_id", "severity", "kind", "struct", "field")]))
+
+    return table(spark, d, "schema_files").select("file_id", "body").mapInArrow(walk, "file_id string, severity string, kind string, struct string, field string")
+
+
+@query("schema_evolution")
+def schema_evolution(spark, d):
+    """What each version of a studio adds, changes or breaks against the one before; a studio's few versions are compared by one task."""
+    import pandas as pd
+
+    from framelake.schema import SchemaRegistry, evolution
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        ordered = sorted((tuple(v), b) for v, b in zip(frame["version"], frame["body"], strict=True))
+        made = [(v, SchemaRegistry.from_json(b)) for v, b in ordered]
+        rows = [(frame["studio_id"].iloc[0], ".".join(map(str, v)), i.severity, i.kind, i.struct, i.field) for (_, a), (v, b) in zip(made, made[1:], strict=False) for i in evolution(a, b)]
+        return pd.DataFrame(rows, columns=["studio_id", "version", "severity", "kind", "struct", "field"])
+
+    return _bodies(spark, d).groupBy("studio_id").applyInPandas(walk, "studio_id string, version string, severity string, kind string, struct string, field string")
+
+
+@query("export_lifetimes")
+def export_lifetimes(spark, d):
+    from framelake.sinks.exports import lifetime_table, with_times
+
+    lives = analysis.lifetimes(frames(spark, d))
+    return lifetime_table(with_times(lives, clock(spark, d)), {t: name for t, (name, _, _) in TYPES.items()})
+
+
+@query("export_spans")
+def export_spans(spark, d):
+    from framelake.sinks.exports import span_table, with_times
+
+    return span_table(with_times(analysis.value_spans(players(spark, d), ["team", "is_alive"]), clock(spark, d)))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
