@@ -90,7 +90,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "frame_docs")
     graph = _graph(docs)
     kinds = ["players", "players.loadout", "players.loadout.mods", "projectiles", "projectiles.hits", "match_state"]
-    return shred.shred(docs, "frame_id", "body", graph, FRAME_MARKS, with_fields=False).where(F.col("node").isin(kinds)).select("frame_id", "node", "path")
+    return shred.shred(docs, "frame_id", "body", graph, FRAME_MARKS, with_fields=False, nodes=kinds).select("frame_id", "node", "path")
 
 
 def _p3_table(node: str) -> Query:
@@ -196,7 +196,7 @@ def queries() -> dict[str, Query]:
         "p5_found": p5_found,
         "p6_found": p6_found, "p6_reasons": p6_reasons,
     }
-    for node in ("", "players", "players.loadout", "players.loadout.mods", "projectiles", "projectiles.hits", "match_state"):
+    for node in ("", "players", "players.loadout", "players.loadout.mods", "projectiles", "projectiles.hits", "match_state", "position", "velocity"):
         out[f"p3_{(node or 'frames').replace('.', '_')}"] = _p3_table(node)
     return out
 
