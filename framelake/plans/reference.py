@@ -482,21 +482,38 @@ def sanitize_by_type(spark, d):
     return clean.process(frames(spark, d)).select("replay_id", "frame_index", "unique_id", "type_name", F.coalesce("team", F.lit(-1)).alias("team"))
 
 
-@query("replay_roundtrip")
-def replay_roundtrip(spark, d):
-    """Players written to container files and read back, in the shared folder; rows that come back other than they went (none)."""
+#: Types of the container for the properties of all entities.
+_STORED = {"name": "String", "team": "Int32", "health": "Float", "armor": "Float", "position": "Vector", "velocity": "Vector", "is_alive": "Bool", "score": "Int32", "deaths": "Int32",
+           "owner_id": "String", "damage": "Float", "type": "String", "score_team1": "Int32", "score_team2": "Int32", "round": "Int32", "phase": "String", "time_remaining": "Float"}
+
+
+def container_differences(rows: DataFrame, at: str) -> DataFrame:
+    """Rows of ``frames`` that are given back other than they were written, with how often they are ``missing`` (less than 0: too many).
+
+    All entities and properties are written to container files in the folder ``at`` and read again. The
+    container has no null scalars, so a null counts as its type's empty value. Its frames are
+    numbered without gaps; they are told by their time.
+    """
     import json
 
-    from framelake.session import checkpoint_dir
     from framelake.sources import replay
 
-    kinds = {"name": "String", "team": "Int32", "score": "Int32", "deaths": "Int32", "position": "Vector"}
-    schema = json.dumps({"version": "1.0.0", "buckets": ["entity"], "property_mapping": [{"struct": "Player", "values": [{"name": n, "typeId": t} for n, t in kinds.items()]}]})
-    rows = players(spark, d).where(F.col("name").isNotNull() & F.col("position").isNotNull() & F.col("team").isNotNull())
-    at = f"{checkpoint_dir(spark).removeprefix('file:')}/replay_roundtrip"
-    replay.write_replays(rows.withColumn("created_utc_ticks", F.col("utc_ticks")), at, schema, max_frames=40)
-    back = replay.read_replays(spark, at).select("replay_id", F.col("created_utc_ticks").alias("utc_ticks"), "unique_id", *kinds)
-    return rows.select(back.columns).exceptAll(back)
+    mapping = [{"struct": name, "values": [{"name": p, "typeId": _STORED[p]} for p in properties]} for name, _, properties in (TYPES[t] for t in sorted(TYPES))]
+    schema = json.dumps({"version": "1.0.0", "buckets": ["entity"], "property_mapping": mapping})
+    rows = rows.withColumn("created_utc_ticks", F.col("utc_ticks"))
+    replay.write_replays(rows, at, schema, max_frames=40)
+    want = replay.as_stored(rows, schema)
+    back = replay.read_replays(rows.sparkSession, at).select(want.columns)
+    both = want.withColumn("__n", F.lit(1)).unionByName(back.withColumn("__n", F.lit(-1)))
+    return both.groupBy(want.columns).agg(F.sum("__n").alias("missing")).where(F.col("missing") != 0)
+
+
+@query("replay_roundtrip")
+def replay_roundtrip(spark, d):
+    """Every entity of every type written to container files and read back, in the shared folder; rows that come back other than they went (none)."""
+    from framelake.session import checkpoint_dir
+
+    return container_differences(frames(spark, d), f"{checkpoint_dir(spark).removeprefix('file:')}/replay_roundtrip")
 
 
 # --- functions

@@ -505,6 +505,7 @@ class ReplayDataSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ReplayDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader takes filters, and Spark refuses such readers without it
 
 
 def read_replays(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
@@ -520,6 +521,23 @@ def write_replays(rows: DataFrame, path: str, schema_text: str, backend: str = "
     out.write.format("replay").option("schema", schema_text).option("backend", backend).option("maxFrames", str(max_frames)).option("compression", compression).mode(mode).save(path)
 
 
+def as_stored(rows: DataFrame, schema_text: str) -> DataFrame:
+    """Keys of an entity and its properties as a file gives them back: a null scalar of a type's own property is the property's empty value.
+
+    Properties that a row's type doesn't declare are null.
+    """
+    columns = {}
+    for name, (kind, own) in SchemaRegistry.from_json(schema_text).columns().items():
+        value = F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind)
+        for type_id, f in own.items():
+            empty = _EMPTY.get(f.type)
+            if f.container == "None" and f.type not in ("Struct", "Transform"):
+                filled = F.struct(*[F.lit(v).alias(k) for k, v in empty.items()]) if isinstance(empty, dict) else F.lit(empty)
+                value = F.when(F.col("entity_type_id") == type_id, F.coalesce(value, filled.cast(kind))).otherwise(value)
+        columns[name] = F.when(F.col("entity_type_id").isin(*own), value).alias(name)
+    return rows.select("replay_id", "created_utc_ticks", "unique_id", "entity_type_id", *columns.values())
+
+
 def metadata(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """header, footer, chunks, events, times, markers and schema of each file, as tables."""
     files = [ReplayFile.open(f) for f in _files(path)]

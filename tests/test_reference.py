@@ -453,3 +453,23 @@ def test_labels_tree_and_small_things(spark, tmp_path):
     assert sorted(raw) == list(range(7)) and codec.decode_tables("Bucket", raw[4])["unique_ids"] == ["player_0"]
     times = spark.createDataFrame([("a", 0, 5)], "replay_id string, frame_index int, t int")
     assert timeline.append_times(times, spark.createDataFrame([("a", 0, 9), ("a", 1, 6)], times.schema)).orderBy("frame_index").collect() == [("a", 0, 5), ("a", 1, 6)]
+
+
+def test_the_round_trip_query_writes_every_row_and_property(spark, data, tmp_path, monkeypatch):
+    from framelake.frames import PROPERTIES, frames
+    from framelake.plans.reference import container_differences
+    from framelake.sources import replay
+
+    rows = frames(spark, data)
+    assert container_differences(rows, str(tmp_path / "whole")).count() == 0
+    back = read_replays(spark, str(tmp_path / "whole"))
+    assert set(PROPERTIES) <= set(back.columns)
+    count = lambda df: {r.entity_type_id: r["count"] for r in df.groupBy("entity_type_id").count().collect()}
+    assert count(back) == count(rows) and set(count(back)) == {0, 1, 2}
+    empty = rows.where("entity_type_id = 0 and name is null").count()
+    assert empty > 0 and back.where("entity_type_id = 0 and name = ''").count() == empty
+    whole = replay.read_replays
+    monkeypatch.setattr(replay, "read_replays", lambda s, at: whole(s, at).withColumn("armor", F.col("armor") + F.when(F.col("entity_type_id") == 0, 1.0)).where("entity_type_id < 2"))
+    changed = container_differences(rows, str(tmp_path / "whole")).groupBy("entity_type_id").agg(F.sum(F.when(F.col("missing") > 0, F.col("missing"))).alias("n"), F.sum("missing").alias("left")).collect()
+    n = count(rows)
+    assert {(r.entity_type_id, r.n, r.left) for r in changed} == {(0, n[0], 0), (2, n[2], n[2])}
