@@ -109,7 +109,7 @@ def _player_runs(spark: SparkSession, d: str) -> DataFrame:
     states = table(spark, d, "player_states").where(F.col("health").isNotNull())
     states = states.select("replay_id", clean_id("unique_id").alias("sequence_id"), "frame_index", "is_alive", F.col("health").cast("double").alias("health"), "utc_ticks", "arrived_at")
     near = lambda prev, cur: prev("is_alive").eqNullSafe(cur("is_alive")) & (F.round(F.abs(prev("health") - cur("health")), 5) <= 0.5)
-    runs = collapse_runs(states, ["replay_id", "sequence_id"], "frame_index", ["is_alive", "health"], near, [F.col("arrived_at")], "utc_ticks", min_length=2)
+    runs = collapse_runs(states, ["replay_id", "sequence_id"], "frame_index", ["is_alive", "health"], near, [F.col("arrived_at")], "utc_ticks")
     return runs.withColumn("state", F.concat_ws(" ", F.when(F.col("state_is_alive"), "alive").otherwise("dead"), F.round("state_health", 2).cast("string")))
 
 
@@ -118,7 +118,7 @@ def _phase_runs(spark: SparkSession, d: str) -> DataFrame:
     phase = F.regexp_replace(F.lower("phase"), r"[\s_\-]+", "")
     states = states.select("replay_id", F.lit("match_state").alias("sequence_id"), "frame_index", phase.alias("phase"), "utc_ticks", "arrived_at")
     same = lambda prev, cur: prev("phase") == cur("phase")
-    runs = collapse_runs(states, ["replay_id", "sequence_id"], "frame_index", ["phase"], same, [F.col("arrived_at")], "utc_ticks", min_length=2)
+    runs = collapse_runs(states, ["replay_id", "sequence_id"], "frame_index", ["phase"], same, [F.col("arrived_at")], "utc_ticks")
     return runs.withColumn("state", F.col("state_phase"))
 
 
@@ -128,7 +128,7 @@ def p4_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_runs(spark, d).select("replay_id", "sequence_id", "first_frame", "last_frame")
+    return p4_runs(spark, d).where(F.col("n_frames") >= 2).select("replay_id", "sequence_id", "first_frame", "last_frame")
 
 
 P4_SQL = {

@@ -61,3 +61,18 @@ def test_blocked_windows(spark, block):
         assert run[f] == (sum(before) + values[f], max(before) if before else None, i + 1)
     near = {r.f: (r.before, r.after) for r in neighbours(df.select("k", "f"), ["k"], "f", block).collect()}
     assert near == {f: (order[i - 1] if i else None, order[i + 1] if i + 1 < len(order) else None) for i, f in enumerate(order)}
+
+
+def test_p4_runs_keeps_stretches_of_one_frame(spark, data):
+    from framelake.plans import training
+    from framelake.tables import clean_id, table
+
+    runs, keys = training.p4_runs(spark, data).cache(), ["replay_id", "sequence_id"]
+    states = table(spark, data, "player_states").where("health is not null").select("replay_id", clean_id("unique_id").alias("sequence_id"), "frame_index")
+    phases = table(spark, data, "match_states").where("phase is not null").select("replay_id", F.lit("match_state").alias("sequence_id"), "frame_index")
+    frames = states.unionByName(phases).distinct()
+    assert runs.agg(F.sum("n_frames")).first()[0] == frames.count()
+    assert runs.where("n_frames = 1").count() > 0
+    found = training.p4_found(spark, data)
+    assert found.exceptAll(runs.where("n_frames > 1").select(found.columns)).count() == 0
+    assert found.count() == runs.where("n_frames > 1").count()
