@@ -217,3 +217,19 @@ def test_held_out_agreement(spark, data):
                 made += hit
                 right += hit and c.label
     assert right / max(1, made) > 0.9 and right / max(1, good) > 0.9
+
+
+def test_quick_looks_accept_what_their_patterns_accept():
+    rng = random.Random(5)
+    given = ["12 b, Baker Street", "12 b Old Baker Street", "Flat 3, 12 a, Mill Road, Ashford 1234"]
+    assert all(pii.ADDRESS_EN.search(t) for t in given)
+    parts = ["12", "12b", "12 b", "12-14", "7/9 a", "12 - 14"], ["", " bis", " ter"], ["", ","]
+    words = ["Old Baker Street", "Mill Road", "O'Neil Lane", "rue de la Paix", "avenue Foch", "boulevard d'Arles", "High Street5", "Saint-Denis Road"]
+    made = ["".join(rng.choice(p) for p in parts) + " " + rng.choice(words) for _ in range(500)] + [f"Haupt{k} {n}" for k in ("straße", "str.", "weg", "platz") for n in parts[0]]
+    hits = 0
+    for t in given + made:
+        for quick, pattern in zip(pii.MAYBE_ADDRESS, pii.ADDRESSES, strict=True):
+            if pattern.search(t):
+                hits += 1
+                assert quick.search(t), (t, pattern.pattern)
+    assert hits > 100
