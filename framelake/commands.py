@@ -1,11 +1,13 @@
 """The line commands over a recording: ``Session(spark).run('search health < 20')`` answers in JSON.
 
 Answers hold what a command asks for about one frame or one recording; whole-table work is done
-with the operators instead.
+with the operators instead. Of a folder of recordings one is open at a time: the first, or the one named.
 """
 
 from __future__ import annotations
 
+import inspect
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,7 @@ class Session:
         self.path: str | None = None
         self.rows: DataFrame | None = None
         self.registry: SchemaRegistry | None = None
+        self.file: ReplayFile | None = None  # the open recording
         self.current = 0
         self.ended = False
 
@@ -58,12 +61,15 @@ class Session:
         if name not in self.COMMANDS:
             near = closest(name, self.COMMANDS)
             return error(name, f"unknown command {name}", f"did you mean {near}?" if near else None)
+        command = getattr(self, f"do_{name}")
         try:
-            return ok(name, getattr(self, f"do_{name}")(*args))
-        except Refusal as e:
-            return error(name, str(e), e.hint)
+            inspect.signature(command).bind(*args)
         except TypeError:
             return error(name, "wrong number of arguments")
+        try:
+            return ok(name, command(*args))
+        except Refusal as e:
+            return error(name, str(e), e.hint)
         except (ValueError, ReplayError) as e:
             return error(name, str(e))
 
@@ -74,19 +80,23 @@ class Session:
 
     def _meta(self, kind: str) -> list[dict]:
         self._need()
-        return [r.asDict(recursive=True) for r in metadata(self.spark, self.path)[kind].collect()]
+        return [r.asDict(recursive=True) for r in metadata(self.spark, self.file.path)[kind].collect()]
 
     # --- files and session
 
-    def do_open(self, path: str):
-        first = ReplayFile.open(_files(path)[0])
-        self.path, self.registry, self.current = path, first.registry(), 0
-        self.rows = read_replays(self.spark, path)
-        return {"path": path, "backend": first.backend, "total_frames": first.footer.get("total_frames", 0)}
+    def do_open(self, path: str, recording: str | None = None):
+        names = {r.replay_id: f for f in reversed(_files(path)) for r in [ReplayFile.open(f)]}
+        if recording is not None and recording not in names:
+            near = closest(recording, list(names))
+            raise Refusal(f"no recording {recording}", f"did you mean {near}?" if near else None)
+        chosen = ReplayFile.open(names[recording] if recording is not None else _files(path)[0])
+        self.path, self.file, self.registry, self.current = path, chosen, chosen.registry(), 0
+        self.rows = read_replays(self.spark, chosen.path)
+        return {"path": path, "recording": chosen.replay_id, "recordings": sorted(names), "backend": chosen.backend, "total_frames": chosen.footer.get("total_frames", 0)}
 
     def do_close(self):
         self._need()
-        self.path = self.rows = self.registry = None
+        self.path = self.rows = self.registry = self.file = None
         return {}
 
     def do_help(self):
@@ -120,7 +130,12 @@ class Session:
     # --- frames
 
     def _frame(self) -> DataFrame:
-        return self._need().where(F.col("frame_index") == self.current)
+        return self._at(self.current)
+
+    def _at(self, index: int) -> DataFrame:
+        """One frame; only its chunk is opened."""
+        self._need()
+        return read_replays(self.spark, self.file.path, frames=(index, index))
 
     def do_frame(self, index: str | None = None):
         self._need()
@@ -153,24 +168,42 @@ class Session:
         rows = self._frame().where(F.col("bucket_index") == self._bucket(bucket)).orderBy("entity_index")
         return [r.asDict() for r in rows.select("entity_index", "unique_id", "entity_type_id", "type_name").collect()]
 
-    def _entity(self, bucket: str, who: str):
+    def _entity(self, bucket: str, *who: str):
+        """By ``--index N``, by ``--id ID``, or by a bare word: an index if it is a number of an entity, else an id."""
         self._need()
         rows = self._frame().where(F.col("bucket_index") == self._bucket(bucket))
-        hit = rows.where(F.col("entity_index") == int(who)) if who.isdigit() else rows.where(F.col("unique_id") == who)
-        found = hit.orderBy("entity_index").first()
-        if found is None and who.isdigit():
-            found = rows.where(F.col("unique_id") == who).orderBy("entity_index").first()
-        if found is None:
-            raise Refusal(f"no entity {who} in frame {self.current}")
-        return found.asDict(recursive=True)
-
-    def do_entity(self, bucket: str, who: str):
-        r = self._entity(bucket, who)
-        names = self.registry.properties(r["type_name"] or "")
-        return {"unique_id": r["unique_id"], "type_name": r["type_name"], "properties": {n: r.get(n) for n in names}}
-
-    def do_property(self, bucket: str, who: str, name: str):
-        r = self._entity(bucket, who)
+        at, named = (lambda i: F.col("entity_index") == int(i)), (lambda u: F.col("unique_id") == u)
+        if len(who) == 2 and who[0] in ("--index", "--id"):
+            if who[0] == "--index" and not who[1].isdigit():
+                raise Refusal("--index takes a number")
+            tries = [at(who[1]) if who[0] == "--index" else named(who[1])]
+        elif len(who) == 1:
+            tries = [at(who[0]), named(who[0])] if who[0].isdigit() else [named(who[0])]
+        else:
+            raise Refusal("name one entity", "an index or id, --index N or --id ID")
+        for wanted in tries:
+            found = rows.where(wanted).orderBy("entity_index").first()
+            if found is not None:
+                return found.asDict(recursive=True)
+        raise Refusal(f"no entity {who[-1]} in frame {self.current}")
+
+    def _raw(self, r: dict) -> dict:
+        """The slots of an entity whose type the schema doesn't have."""
+        entry = next(c for c in self.file.seek_table() if c["start_frame"] <= self.current <= c["end_frame"])
+        bucket = self.file.chunk(entry)[self.current - entry["start_frame"]]["data"][r["bucket_index"]]
+        return {k: v for k, v in bucket["entities"][r["entity_index"]].items() if k not in ("type_id", "content_hash")}
+
+    def do_entity(self, bucket: str, *who: str):
+        r = self._entity(bucket, *who)
+        known = r["type_name"] is not None
+        properties = {n: r.get(n) for n in self.registry.properties(r["type_name"])} if known else self._raw(r)
+        return {"unique_id": r["unique_id"], "type_name": r["type_name"], "properties": properties}
+
+    def do_property(self, bucket: str, *rest: str):
+        if len(rest) < 2:
+            raise Refusal("wrong number of arguments", "property <bucket> <entity> <name>")
+        *who, name = rest
+        r = self._entity(bucket, *who)
         f = self.registry.field(r["type_name"] or "", name)
         if f is None:
             near = closest(name, self.registry.properties(r["type_name"] or ""))
@@ -203,10 +236,13 @@ class Session:
         rows = self._need()
         properties = [f.name for s in self.registry.structs for f in s.fields if f.name in rows.columns]
         properties = list(dict.fromkeys(properties))
-        at = lambda i: rows.where(F.col("frame_index") == int(i))
+        at = lambda i: self._at(int(i))
+        names = at(a).unionByName(at(b)).groupBy("unique_id").agg(F.max_by("type_name", "frame_index").alias("type_name"))
         patch = diff_frames(at(a), at(b), properties, epsilon=float(epsilon)).cache()
         whole = {r.op: r.n for r in patch.where(F.col("property").isNull()).groupBy("op").agg(F.count("*").alias("n")).collect()}
-        changed = [r.asDict() for r in summary(patch.where(F.col("property").isNotNull())).orderBy("unique_id").collect()]
+        changed = summary(patch.where(F.col("property").isNotNull())).join(names, "unique_id", "left").orderBy("unique_id")
         total = patch.count()
+        out = {"frame_a": int(a), "frame_b": int(b), "total_ops": total, "added": whole.get("Add", 0), "removed": whole.get("Remove", 0), "changed": [r.asDict() for r in changed.collect()]}
+        out["operations"] = [r.asDict() for r in patch.orderBy("unique_id", "property").limit(50).collect()]  # the first ones, as a preview
         patch.unpersist()
-        return {"frame_a": int(a), "frame_b": int(b), "total_ops": total, "added": whole.get("Add", 0), "removed": whole.get("Remove", 0), "changed": changed}
+        return out

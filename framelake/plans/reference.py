@@ -487,6 +487,17 @@ _STORED = {"name": "String", "team": "Int32", "health": "Float", "armor": "Float
            "owner_id": "String", "damage": "Float", "type": "String", "score_team1": "Int32", "score_team2": "Int32", "round": "Int32", "phase": "String", "time_remaining": "Float"}
 
 
+def _stored_schema() -> str:
+    import json
+
+    mapping = [{"struct": name, "values": [{"name": p, "typeId": _STORED[p]} for p in properties]} for name, _, properties in (TYPES[t] for t in sorted(TYPES))]
+    return json.dumps({"version": "1.0.0", "buckets": ["entity"], "property_mapping": mapping})
+
+
+def _recorded(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("created_utc_ticks", F.col("utc_ticks"))
+
+
 def container_differences(rows: DataFrame, at: str) -> DataFrame:
     """Rows of ``frames`` that are given back other than they were written, with how often they are ``missing`` (less than 0: too many).
 
@@ -494,13 +505,9 @@ def container_differences(rows: DataFrame, at: str) -> DataFrame:
     container has no null scalars, so a null counts as its type's empty value. Its frames are
     numbered without gaps; they are told by their time.
     """
-    import json
-
     from framelake.sources import replay
 
-    mapping = [{"struct": name, "values": [{"name": p, "typeId": _STORED[p]} for p in properties]} for name, _, properties in (TYPES[t] for t in sorted(TYPES))]
-    schema = json.dumps({"version": "1.0.0", "buckets": ["entity"], "property_mapping": mapping})
-    rows = rows.withColumn("created_utc_ticks", F.col("utc_ticks"))
+    rows, schema = _recorded(rows), _stored_schema()
     replay.write_replays(rows, at, schema, max_frames=40)
     want = replay.as_stored(rows, schema)
     back = replay.read_replays(rows.sparkSession, at).select(want.columns)
@@ -508,12 +515,77 @@ def container_differences(rows: DataFrame, at: str) -> DataFrame:
     return both.groupBy(want.columns).agg(F.sum("__n").alias("missing")).where(F.col("missing") != 0)
 
 
-@query("replay_roundtrip")
+def _stored_sql() -> str:
+    """All entities as the container gives them back: frames numbered without gaps, nulls of own properties as empty values."""
+    empty = {"String": "''", "Int32": "0", "Float": "0::FLOAT", "Bool": "false"}
+    parts = []
+    for type_id, (name, source, properties) in TYPES.items():
+        cells = []
+        for p, kind in _STORED.items():
+            if kind == "Vector":
+                cells += [f"coalesce({p}.{a}, 0) AS {p}_{a}" if p in properties else f"NULL::DOUBLE AS {p}_{a}" for a in "xyz"]
+            else:
+                value = f"coalesce({p}, {empty[kind]})" if p in properties else "NULL"
+                cells.append(f"{value} AS {p}" if kind == "String" else f"{value}::INT::DOUBLE AS {p}" if kind == "Bool" else f"{value}::DOUBLE AS {p}")
+        parts.append(f"SELECT DISTINCT replay_id, frame_index, utc_ticks, lower(trim(unique_id)) AS unique_id, {type_id} AS entity_type_id, '{name}' AS type_name, {', '.join(cells)} FROM {source}")
+    return f"WITH s AS ({' UNION ALL '.join(parts)})"
+
+
+def _given_back(spark: SparkSession, d: str, backend: str) -> DataFrame:
+    from framelake.session import checkpoint_dir
+    from framelake.sources import replay
+
+    at = f"{checkpoint_dir(spark)}/replays_{backend}"
+    replay.write_replays(_recorded(frames(spark, d)), at, _stored_schema(), backend, max_frames=40)
+    return replay.read_replays(spark, at)
+
+
+def _flat_cells(rows: DataFrame) -> DataFrame:
+    cells = []
+    for p, kind in _STORED.items():
+        if kind == "Vector":
+            cells += [F.col(f"{p}.{a}").alias(f"{p}_{a}") for a in "xyz"]
+        else:
+            cells.append(F.col(p) if kind == "String" else F.col(p).cast("double").alias(p))
+    return rows.select("replay_id", "frame_index", F.col("created_utc_ticks").alias("utc_ticks"), "unique_id", "entity_type_id", "type_name", *cells)
+
+
+_ROUNDTRIP = _stored_sql() + " SELECT * REPLACE ((dense_rank() OVER (PARTITION BY replay_id ORDER BY frame_index) - 1)::INT AS frame_index) FROM s"
+
+
+@query("replay_roundtrip", _ROUNDTRIP)
 def replay_roundtrip(spark, d):
-    """Every entity of every type written to container files and read back, in the shared folder; rows that come back other than they went (none)."""
+    """Every entity of every type and all its properties, written to container files in the shared folder and read back."""
+    return _flat_cells(_given_back(spark, d, "flatbuffers"))
+
+
+@query("replay_roundtrip_tagged", _ROUNDTRIP)
+def replay_roundtrip_tagged(spark, d):
+    """The same in the tagged encoding."""
+    return _flat_cells(_given_back(spark, d, "protobuf"))
+
+
+_ORDERED = "f AS (SELECT replay_id, frame_index, dense_rank() OVER (PARTITION BY replay_id ORDER BY frame_index) - 1 AS n FROM (SELECT DISTINCT replay_id, frame_index FROM s))"
+
+
+@query("replay_chunks", f"{_stored_sql()}, {_ORDERED} SELECT replay_id, (n // 40)::INT AS chunk_index, min(n)::INT AS start_frame, max(n)::INT AS end_frame FROM f GROUP BY ALL")
+def replay_chunks(spark, d):
+    """Seek tables as the files hold them."""
+    from framelake.session import checkpoint_dir
+    from framelake.sources import replay
+
+    _given_back(spark, d, "flatbuffers")
+    return replay.metadata(spark, f"{checkpoint_dir(spark)}/replays_flatbuffers")["chunks"].select("replay_id", "chunk_index", "start_frame", "end_frame")
+
+
+@query("replay_range", f"{_stored_sql()}, {_ORDERED} SELECT s.replay_id, f.n::INT AS frame_index, unique_id FROM s JOIN f USING (replay_id, frame_index) WHERE f.n BETWEEN 45 AND 50")
+def replay_range(spark, d):
+    """A frame range of every recording; chunks outside it are not opened."""
     from framelake.session import checkpoint_dir
+    from framelake.sources import replay
 
-    return container_differences(frames(spark, d), f"{checkpoint_dir(spark).removeprefix('file:')}/replay_roundtrip")
+    _given_back(spark, d, "flatbuffers")
+    return replay.read_replays(spark, f"{checkpoint_dir(spark)}/replays_flatbuffers", frames=(45, 50)).select("replay_id", "frame_index", "unique_id")
 
 
 # --- functions

@@ -1,25 +1,33 @@
 """Recordings in chunked container files as a Spark data source, ``replay``.
 
 A file is: magic, header size, header, then per chunk its size and payload, then footer, footer
-size, magic. Payloads may be zstd blobs. Reading plans one partition per chunk from the footers'
-seek tables, so a filter on frame_index or chunk_index skips whole chunks without opening them;
-each task reads and decodes its chunk alone. Writing makes one file per recording, chunk by
-chunk, so a task holds one chunk; files appear under their names when the job commits.
+size, magic. Payloads may be zstd blobs. Reading splits files by bytes, and small files share a
+split; the driver only lists them. A task reads the seek tables of its files and decodes the
+chunks that begin in its bytes, one at a time, into Arrow batches; ``frames`` and ``chunks`` skip
+all others.
+Writing makes one file per recording, chunk by chunk, so a task holds one chunk; files appear
+under their names when the job commits, and old ones go only then. Paths may be any that
+pyarrow's file systems open (local, hdfs, s3).
 """
 
 from __future__ import annotations
 
-import glob
+import hashlib
 import os
+import re
 import struct
+import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from urllib.parse import quote
 
+import pyarrow as pa
 import zstandard
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from framelake.schema import SchemaRegistry
 from framelake.sources import codec
@@ -64,6 +72,12 @@ def deflate(blob: bytes, compress: bool = True) -> bytes:
     return out if len(out) < len(blob) else blob
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    path = re.sub(r"^file:/+", "/", path)
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
+
+
 def _codec(backend: str):
     return (codec.encode_tables, codec.decode_tables) if backend == "flatbuffers" else (codec.encode_tagged, codec.decode_tagged)
 
@@ -80,8 +94,9 @@ class ReplayFile:
     @classmethod
     def open(cls, path: str) -> ReplayFile:
         try:
-            size = os.path.getsize(path)
-            with open(path, "rb") as f:
+            system, inner = file_system(path)
+            with system.open_input_file(inner) as f:
+                size = f.size()
                 magic = f.read(4)
                 backend = next((b for b, m in MAGIC.items() if m == magic), None)
                 if backend is None:
@@ -123,9 +138,10 @@ class ReplayFile:
     def chunk(self, entry: dict) -> list[dict]:
         """The frames of one chunk."""
         start, n = entry["file_offset"], entry["chunk_size_bytes"]
-        if n < 4 or start + n > os.path.getsize(self.path):
-            raise ReplayError(f"{self.path}: chunk {entry['chunk_index']} reaches beyond the file")
-        with open(self.path, "rb") as f:
+        system, inner = file_system(self.path)
+        with system.open_input_file(inner) as f:
+            if n < 4 or start + n > f.size():
+                raise ReplayError(f"{self.path}: chunk {entry['chunk_index']} reaches beyond the file")
             f.seek(start + 4)
             blob = f.read(n - 4)
         try:
@@ -212,33 +228,28 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def rows_of(replay: ReplayFile, registry: SchemaRegistry, entry: dict, columns: dict) -> Iterator[tuple]:
+def batch_of(replay: ReplayFile, registry: SchemaRegistry, entry: dict, columns: dict, shape: pa.Schema) -> pa.RecordBatch:
+    """One chunk's entities as an Arrow batch."""
     times = replay.footer.get("times") or {}
     game, utc = times.get("game_time") or [], times.get("created_utc") or []
     names = {s.type_id: s.name for s in registry.structs}
+    keys: list[tuple] = []
+    cells: list[list] = [[] for _ in columns]
+    wanted = [own for _, own in columns.values()]
     for i, frame in enumerate(replay.chunk(entry)):
         index = entry["start_frame"] + i
+        at = (replay.replay_id, entry["chunk_index"], index, game[index] if index < len(game) else None, utc[index] if index < len(utc) else None)
         for b, bucket in enumerate(frame.get("data") or []):
             ids = bucket.get("unique_ids") or []
+            where = (*at, b, registry.buckets[b] if b < len(registry.buckets) else None)
             for e, entity in enumerate(bucket.get("entities") or []):
                 type_id = entity.get("type_id", 0)
                 values = unpack(entity, registry, names.get(type_id, ""))
-                yield (
-                    replay.replay_id, entry["chunk_index"], index, game[index] if index < len(game) else None, utc[index] if index < len(utc) else None, b, registry.buckets[b] if b < len(registry.buckets) else None,
-                    e, ids[e] if e < len(ids) else None, type_id, names.get(type_id), _signed(entity.get("content_hash", 0)),
-                    *[_row(values.get(own[type_id].name), kind) if type_id in own else None for kind, own in columns.values()],
-                )
-
-
-def _row(value, kind: T.DataType):
-    """Dicts as tuples in the type's order."""
-    if value is None:
-        return None
-    if isinstance(kind, T.StructType):
-        return tuple(_row(value.get(f.name), f.dataType) for f in kind.fields)
-    if isinstance(kind, T.ArrayType):
-        return [_row(v, kind.elementType) for v in value]
-    return value
+                keys.append((*where, e, ids[e] if e < len(ids) else None, type_id, names.get(type_id), _signed(entity.get("content_hash", 0))))
+                for cell, own in zip(cells, wanted, strict=True):
+                    cell.append(values.get(own[type_id].name) if type_id in own else None)
+    made = [*(list(c) for c in zip(*keys, strict=True)), *cells] if keys else [[] for _ in shape]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, shape, strict=True)], schema=shape)
 
 
 def _dicts(value):
@@ -253,79 +264,108 @@ def _dicts(value):
 # --- the data source
 
 
+def _listed(path: str) -> list[tuple[str, int]]:
+    """(file, bytes) of the recordings in a folder, or of a file or pattern."""
+    if "://" not in path and any(c in path for c in "*?[") and not os.path.exists(path):
+        import glob
+
+        return [(p, os.path.getsize(p)) for p in sorted(glob.glob(path))]
+    system, inner = file_system(path)
+    head = path[: path.index("://") + 3] if "://" in path and not path.startswith("file:") else ""
+    info = system.get_file_info(inner)
+    if info.type == pafs.FileType.Directory:
+        found = [f for f in system.get_file_info(pafs.FileSelector(inner)) if not f.base_name.startswith((".", "_")) and f.base_name.endswith(".replay")]
+        return sorted((head + f.path, f.size) for f in found)
+    return [(path, info.size or 0)]
+
+
 def _files(path: str) -> list[str]:
-    if os.path.isdir(path):
-        return sorted(os.path.join(path, f) for f in os.listdir(path) if not f.startswith((".", "_")) and f.endswith(".replay"))
-    return sorted(glob.glob(path)) or [path]
+    return [p for p, _ in _listed(path)]
 
 
-@dataclass
-class ChunkPartition(InputPartition):
-    path: str
-    entry: dict
+#: Bytes of a split at most, and what opening a file counts as.
+SPLIT_BYTES, OPEN_BYTES = 128 << 20, 1 << 16
 
 
 @dataclass
-class _Bounds:
-    """Frames or chunks that the filters leave."""
-
-    low: float = float("-inf")
-    high: float = float("inf")
-    among: set | None = field(default=None)
+class Split(InputPartition):
+    """Byte ranges of files; a chunk belongs to the range in which it begins."""
+
+    ranges: list[tuple[str, int, int]]
+
+
+def splits(path: str, parallelism: int = 8, most: int = SPLIT_BYTES) -> list[Split]:
+    """Files in splits of about equal bytes: large ones are cut, small ones put together. No file is opened."""
+    files = _listed(path)
+    total = sum(n + OPEN_BYTES for _, n in files)
+    target = max(OPEN_BYTES, min(most, total // max(1, parallelism)))
+    out: list[Split] = []
+    held, filled = [], 0
+    for name, n in files:
+        cuts = max(1, round(n / target))
+        for i in range(cuts):
+            low, high = n * i // cuts, n * (i + 1) // cuts if i + 1 < cuts else max(n, 1)
+            if held and filled + high - low + OPEN_BYTES > target:
+                out.append(Split(held))
+                held, filled = [], 0
+            held.append((name, low, high))
+            filled += high - low + OPEN_BYTES
+    return [*out, Split(held)] if held else out
+
+
+def chunks_in(split: Split, wanted=None, permissive: bool = False) -> Iterator[tuple[ReplayFile, dict]]:
+    """(file, seek entry) of a split's chunks."""
+    for path, low, high in split.ranges:
+        try:
+            replay = ReplayFile.open(path)
+        except ReplayError:
+            if permissive:
+                continue
+            raise
+        for entry in replay.seek_table():
+            if low <= entry["file_offset"] < high and (wanted is None or wanted(entry)):
+                yield replay, entry
 
-    def add(self, f: Filter) -> None:
-        if isinstance(f, EqualTo):
-            self.among = {f.value} if self.among is None else self.among & {f.value}
-        elif isinstance(f, In):
-            self.among = set(f.value) if self.among is None else self.among & set(f.value)
-        elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-            self.low = max(self.low, f.value)
-        else:
-            self.high = min(self.high, f.value)
 
-    def meets(self, low: int, high: int) -> bool:
-        return high >= self.low and low <= self.high and (self.among is None or any(low <= v <= high for v in self.among))
+def _range(options: dict, name: str) -> tuple[float, float]:
+    given = options.get(name)
+    if not given:
+        return float("-inf"), float("inf")
+    low, high = given.split(",")
+    return float(low), float(high)
 
 
 class ReplayReader(DataSourceReader):
     def __init__(self, options: dict, columns: dict, registry_text: str):
         self.options, self.columns, self.registry_text = options, columns, registry_text
-        self.bounds = {"frame_index": _Bounds(), "chunk_index": _Bounds()}
+        self.frames, self.chunks = _range(options, "frames"), _range(options, "chunks")
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
 
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            name = getattr(f, "attribute", ())
-            if len(name) == 1 and name[0] in self.bounds and isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
-                self.bounds[name[0]].add(f)
-            yield f  # chunks hold more than the wanted frames, so Spark filters as well
-
     def partitions(self) -> Sequence[InputPartition]:
-        out = []
-        for path in _files(self.options["path"]):
-            try:
-                table = ReplayFile.open(path).seek_table()
-            except ReplayError:
-                if self.permissive:
-                    continue
-                raise
-            out += [ChunkPartition(path, c) for c in table if self.bounds["frame_index"].meets(c["start_frame"], c["end_frame"]) and self.bounds["chunk_index"].meets(c["chunk_index"], c["chunk_index"])]
-        return out or [ChunkPartition("", {})]
-
-    def read(self, partition: ChunkPartition) -> Iterator[tuple]:
-        if not partition.path:
-            return
+        return splits(self.options["path"], int(self.options.get("parallelism", 8)), int(self.options.get("splitbytes", SPLIT_BYTES))) or [Split([])]
+
+    def _wanted(self, entry: dict) -> bool:
+        (low, high), (first, last) = self.frames, self.chunks
+        return entry["end_frame"] >= low and entry["start_frame"] <= high and first <= entry["chunk_index"] <= last
+
+    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        shape = to_arrow_schema(T.StructType([*KEYS.fields, *[T.StructField(n, kind) for n, (kind, _) in self.columns.items()]]))
         try:
-            replay = ReplayFile.open(partition.path)
-            registry = replay.registry()
-            columns = {k: (kind, own) for k, (kind, own) in self.columns.items()}
-            if registry.text != self.registry_text:  # another schema in this file: its own slots, the table's columns
-                own = registry.columns()
-                columns = {k: own.get(k, (kind, {})) if own.get(k, (kind, {}))[0] == kind else (kind, {}) for k, (kind, _) in self.columns.items()}
-            yield from rows_of(replay, registry, partition.entry, columns)
-        except ReplayError:
-            if not self.permissive:
-                raise
+            for replay, entry in chunks_in(partition, self._wanted, self.permissive):
+                try:
+                    registry = replay.registry()
+                    columns = self.columns
+                    if registry.text != self.registry_text:  # another schema in this file: its own slots, the table's columns
+                        own = registry.columns()
+                        columns = {k: own.get(k, (kind, {})) if own.get(k, (kind, {}))[0] == kind else (kind, {}) for k, (kind, _) in self.columns.items()}
+                    yield batch_of(replay, registry, entry, columns, shape)
+                except ReplayError:
+                    if not self.permissive:
+                        raise
+        except pa.ArrowInvalid as e:
+            raise ReplayError(f"a value does not fit its declared type: {e}") from e
 
 
 @dataclass
@@ -341,54 +381,80 @@ class ReplayWriter(DataSourceWriter):
             raise ValueError(f"backend must be one of {sorted(MAGIC)}")
         self.schema_text = options["schema"]
         self.max_frames = int(options.get("maxframes", options.get("maxFrames", 1000)))
+        self.max_bytes = int(options.get("maxbytes", options.get("maxBytes", 0)))
         self.compress = str(options.get("compression", "zstd")) != "none"
         self.overwrite = overwrite
-        self.names = schema.names
+        self.job = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[T.Row]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
+        system, inner = file_system(self.path)
+        system.create_dir(inner, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        files, out = [], None
+        files, out, now = [], None, None
         for row in iterator:
             r = row.asDict()
-            if out is None or out.replay_id != r["replay_id"]:
+            if out is None or now != r["replay_id"]:
                 if out is not None:
                     out.close()
-                name = "".join(c if c.isalnum() or c in "-_." else "_" for c in str(r["replay_id"]))
-                final = os.path.join(self.path, f"{name}.replay")
-                staged = os.path.join(self.path, f".{name}.{attempt}.part")
-                out = RecordingWriter(staged, self.schema_text, self.backend, r["replay_id"], max_frames=self.max_frames, compress=self.compress)
-                files.append((staged, final))
+                now = r["replay_id"]
+                name = file_name(now)
+                staged = f".{self.job}.{attempt}.{len(files)}.part"
+                out = RecordingWriter(f"{self.path.rstrip('/')}/{staged}", self.schema_text, self.backend, now or "", max_frames=self.max_frames, max_bytes=self.max_bytes, compress=self.compress)
+                files.append((staged, name))
             out.add_row(r)
         if out is not None:
             out.close()
         return _Written(files)
 
     def commit(self, messages: list) -> None:
-        if self.overwrite:
-            for f in _files(self.path) if os.path.isdir(self.path) else []:
-                os.remove(f)
+        """New files take their names first, each in one step; only then do the ones they replace go."""
+        system, inner = file_system(self.path)
+        made = {name for m in messages if m for _, name in m.files}
+        if made or self.overwrite:
+            system.create_dir(inner, recursive=True)
         for m in messages:
-            for staged, final in m.files if m else []:
-                os.replace(staged, final)
+            for staged, name in m.files if m else []:
+                system.move(f"{inner}/{staged}", f"{inner}/{name}")
+        for f in system.get_file_info(pafs.FileSelector(inner, allow_not_found=True)):
+            old = self.overwrite and f.base_name.endswith(".replay") and f.base_name not in made
+            if f.type == pafs.FileType.File and (old or f.base_name.startswith(f".{self.job}.")):  # what lost attempts left goes too
+                system.delete_file(f.path)
 
     def abort(self, messages: list) -> None:
+        system, inner = file_system(self.path)
         for m in messages:
             for staged, _ in m.files if m else []:
-                if os.path.exists(staged):
-                    os.remove(staged)
+                if system.get_file_info(f"{inner}/{staged}").type == pafs.FileType.File:
+                    system.delete_file(f"{inner}/{staged}")
+
+
+def file_name(replay_id: str | None) -> str:
+    """A file name of a recording's id; different ids (null too) have different names."""
+    if replay_id is None:
+        return "%.replay"
+    name = quote(replay_id, safe="")
+    if name[:1] in (".", "_", "-", "~"):
+        name = f"%{ord(name[0]):02X}{name[1:]}"
+    if len(name) > 180:
+        name = f"{name[:120]}%-{hashlib.sha256(replay_id.encode('utf-8', 'surrogatepass')).hexdigest()}"
+    return f"{name or '%-'}.replay"
 
 
 class RecordingWriter:
-    """One file, written frame by frame. Rows must come by frame, bucket and entity order."""
+    """One file, written frame by frame. Rows must come by frame, bucket and entity order.
 
-    def __init__(self, path: str, schema_text: str, backend: str = "flatbuffers", replay_id: str = "", name: str = "", max_frames: int = 1000, compress: bool = True, recorded: int = 0):
+    A chunk ends before it would hold more than ``max_frames`` frames or ``max_bytes`` encoded bytes (0: no such bound); a frame is never split.
+    """
+
+    def __init__(self, path: str, schema_text: str, backend: str = "flatbuffers", replay_id: str = "", name: str = "", max_frames: int = 1000, max_bytes: int = 0, compress: bool = True, recorded: int = 0):
         self.registry = SchemaRegistry.from_json(schema_text)
-        self.path, self.backend, self.replay_id, self.max_frames, self.compress = path, backend, replay_id, max_frames, compress
+        self.path, self.backend, self.replay_id, self.max_frames, self.max_bytes, self.compress = path, backend, replay_id, max_frames, max_bytes, compress
         self.encode = _codec(backend)[0]
-        self.file = open(path, "wb")  # noqa: SIM115
+        system, inner = file_system(path)
+        self.file = system.open_output_stream(inner)
+        self.size = 0
         header = {
             "version": {"format_major": 1, "format_minor": 0, "schema_version": 0},
             "contextual_schema": {"data_identifier": "", "data_version": 0, "data_version_string": self.registry.version, "schema": schema_text},
@@ -440,9 +506,12 @@ class RecordingWriter:
                 ranges.append({"start_index": start, "count": n})
                 start += n
             buckets.append({"unique_ids": [u for _, u, _ in entities], "entities": [e for _, _, e in entities], "type_ranges": ranges})
-        if len(self.frames) >= self.max_frames:
+        frame = {"data": buckets}
+        n = len(self.encode("Chunk", {"frames": [frame]})) if self.max_bytes else 0
+        if len(self.frames) >= self.max_frames or self.frames and self.size + n > self.max_bytes > 0:
             self.flush()
-        self.frames.append({"data": buckets})
+        self.frames.append(frame)
+        self.size += n
         self.total += 1
         self.held, self.now = {}, None
 
@@ -454,7 +523,7 @@ class RecordingWriter:
         at = self.file.tell()
         self.file.write(struct.pack("<I", len(blob)) + blob)
         self.seek.append({"chunk_index": len(self.seek), "start_frame": self.total - len(self.frames), "end_frame": self.total - 1, "file_offset": at, "chunk_size_bytes": len(blob) + 4})
-        self.frames = []
+        self.frames, self.size = [], 0
 
     def close(self) -> None:
         """Writes the footer; later calls do nothing."""
@@ -476,7 +545,7 @@ class RecordingWriter:
 
 
 class ReplayDataSource(DataSource):
-    """``spark.read.format("replay").load(path)``; options: mode (FAILFAST, PERMISSIVE). Writing: backend, schema, maxFrames, compression."""
+    """``spark.read.format("replay").load(path)``; options: mode (FAILFAST, PERMISSIVE), frames, chunks (from,to), splitBytes. Writing: backend, schema, maxFrames, maxBytes, compression."""
 
     @classmethod
     def name(cls) -> str:
@@ -505,20 +574,32 @@ class ReplayDataSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ReplayDataSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader takes filters, and Spark refuses such readers without it
 
 
-def read_replays(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+def read_replays(spark: SparkSession, path: str, mode: str = "FAILFAST", frames: tuple[int, int] | None = None, chunks: tuple[int, int] | None = None) -> DataFrame:
+    """Entities of all recordings of a folder; with ``frames`` or ``chunks`` (from, to) only those, other chunks are not opened.
+
+    The source takes no filters from Spark: sessions refuse such Python sources by default, and where they don't, a
+    reader keeps the filters of one query for others over the same DataFrame.
+    """
     register(spark)
-    return spark.read.format("replay").option("mode", mode).load(path)
+    rows = spark.read.format("replay").option("mode", mode).option("parallelism", str(spark.sparkContext.defaultParallelism))
+    for key, bound in (("frames", frames), ("chunks", chunks)):
+        if bound is not None:
+            rows = rows.option(key, f"{bound[0]},{bound[1]}")
+    out = rows.load(path)
+    for name, bound in (("frame_index", frames), ("chunk_index", chunks)):
+        if bound is not None:
+            out = out.where(F.col(name).between(*bound))
+    return out
 
 
-def write_replays(rows: DataFrame, path: str, schema_text: str, backend: str = "flatbuffers", max_frames: int = 1000, mode: str = "overwrite", compression: str = "zstd") -> None:
+def write_replays(rows: DataFrame, path: str, schema_text: str, backend: str = "flatbuffers", max_frames: int = 1000, mode: str = "overwrite", compression: str = "zstd", max_bytes: int = 0) -> None:
     """One file per recording. A recording is one ordered file, so one task writes it, holding a chunk at a time."""
     register(rows.sparkSession)
     keys = [c for c in ("frame_index", "bucket_index", "entity_type_id", "unique_id") if c in rows.columns]
     out = rows.repartition("replay_id").sortWithinPartitions("replay_id", *keys)
-    out.write.format("replay").option("schema", schema_text).option("backend", backend).option("maxFrames", str(max_frames)).option("compression", compression).mode(mode).save(path)
+    out.write.format("replay").option("schema", schema_text).option("backend", backend).option("maxFrames", str(max_frames)).option("maxBytes", str(max_bytes)).option("compression", compression).mode(mode).save(path)
 
 
 def as_stored(rows: DataFrame, schema_text: str) -> DataFrame:
@@ -538,57 +619,82 @@ def as_stored(rows: DataFrame, schema_text: str) -> DataFrame:
     return rows.select("replay_id", "created_utc_ticks", "unique_id", "entity_type_id", *columns.values())
 
 
+#: The tables of a recording's metadata.
+_METADATA = {
+    "header": "replay_id string, backend string, format_major int, format_minor int, replay_name string, recorded_utc_timestamp long, custom_json_metadata string",
+    "footer": "replay_id string, total_frames int, duration_seconds double, n_chunks int, n_gaps int, n_segments int",
+    "chunks": "replay_id string, chunk_index int, start_frame int, end_frame int, file_offset long, chunk_size_bytes long",
+    "events": "replay_id string, game_time double, event_type string, label string, location struct<x:double,y:double,z:double>, entity_unique_id string",
+    "times": "replay_id string, frame_index int, game_time_ticks long, created_utc_ticks long",
+    "markers": "replay_id string, kind string, marker int, frame_index int",
+    "schema": "replay_id string, data_identifier string, data_version int, data_version_string string, schema string",
+}
+
+
+def _metadata_rows(r: ReplayFile, table: str) -> list[tuple]:
+    h, t = r.header, r.footer.get("times") or {}
+    if table == "header":
+        v = h.get("version") or {}
+        return [(r.replay_id, r.backend, v.get("format_major", 0), v.get("format_minor", 0), h.get("replay_name"), h.get("recorded_utc_timestamp", 0), h.get("custom_json_metadata"))]
+    if table == "footer":
+        return [(r.replay_id, r.footer.get("total_frames", 0), float(r.footer.get("duration_seconds", 0.0)), len(r.seek_table()), len(t.get("gaps") or []), len(t.get("segments") or []))]
+    if table == "chunks":
+        return [(r.replay_id, *c.values()) for c in r.seek_table()]
+    if table == "events":
+        return [(r.replay_id, float(e.get("game_time", 0.0)), e.get("event_type"), e.get("label"), e.get("location"), e.get("entity_unique_id")) for e in r.footer.get("events") or []]
+    if table == "times":
+        return [(r.replay_id, i, g, u) for i, (g, u) in enumerate(zip(t.get("game_time") or [], t.get("created_utc") or [], strict=False))]
+    if table == "markers":
+        return [(r.replay_id, kind, m, m - 1) for kind in ("gaps", "segments") for m in t.get(kind) or []]
+    s = h.get("contextual_schema") or {}
+    return [(r.replay_id, s.get("data_identifier"), s.get("data_version", 0), s.get("data_version_string"), s.get("schema"))]
+
+
+def _over_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row a file, over as many partitions as there are cores."""
+    names = [(p,) for p in _files(path)]
+    return spark.createDataFrame(names, "path string").repartition(max(1, min(len(names), 4 * spark.sparkContext.defaultParallelism)))
+
+
 def metadata(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """header, footer, chunks, events, times, markers and schema of each file, as tables."""
-    files = [ReplayFile.open(f) for f in _files(path)]
-    head, foot, chunks, events, times, markers, schemas = [], [], [], [], [], [], []
-    for r in files:
-        h, t = r.header, r.footer.get("times") or {}
-        v, s = h.get("version") or {}, h.get("contextual_schema") or {}
-        head.append((r.replay_id, r.backend, v.get("format_major", 0), v.get("format_minor", 0), h.get("replay_name"), h.get("recorded_utc_timestamp", 0), h.get("custom_json_metadata")))
-        foot.append((r.replay_id, r.footer.get("total_frames", 0), float(r.footer.get("duration_seconds", 0.0)), len(r.seek_table()), len(t.get("gaps") or []), len(t.get("segments") or [])))
-        chunks += [(r.replay_id, c["chunk_index"], c["start_frame"], c["end_frame"], c["file_offset"], c["chunk_size_bytes"]) for c in r.seek_table()]
-        events += [(r.replay_id, float(e.get("game_time", 0.0)), e.get("event_type"), e.get("label"), tuple(e["location"].values()) if e.get("location") else None, e.get("entity_unique_id")) for e in r.footer.get("events") or []]
-        game, utc = t.get("game_time") or [], t.get("created_utc") or []
-        times += [(r.replay_id, i, g, u) for i, (g, u) in enumerate(zip(game, utc, strict=False))]
-        markers += [(r.replay_id, kind, m, m - 1) for kind in ("gaps", "segments") for m in t.get(kind) or []]
-        schemas.append((r.replay_id, s.get("data_identifier"), s.get("data_version", 0), s.get("data_version_string"), s.get("schema")))
-    make = spark.createDataFrame
-    return {
-        "header": make(head, "replay_id string, backend string, format_major int, format_minor int, replay_name string, recorded_utc_timestamp long, custom_json_metadata string"),
-        "footer": make(foot, "replay_id string, total_frames int, duration_seconds double, n_chunks int, n_gaps int, n_segments int"),
-        "chunks": make(chunks, "replay_id string, chunk_index int, start_frame int, end_frame int, file_offset long, chunk_size_bytes long"),
-        "events": make(events, "replay_id string, game_time double, event_type string, label string, location struct<x:double,y:double,z:double>, entity_unique_id string"),
-        "times": make(times, "replay_id string, frame_index int, game_time_ticks long, created_utc_ticks long"),
-        "markers": make(markers, "replay_id string, kind string, marker int, frame_index int"),
-        "schema": make(schemas, "replay_id string, data_identifier string, data_version int, data_version_string string, schema string"),
-    }
+    """header, footer, chunks, events, times, markers and schema of each file, as tables; files are opened by tasks."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    files = _over_files(spark, path)
+
+    def reading(table: str, shape: pa.Schema):
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name in batch.column(0).to_pylist():
+                    rows = _metadata_rows(ReplayFile.open(name), table)
+                    cells = list(zip(*rows, strict=True)) if rows else [[] for _ in shape]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cells, shape, strict=True)], schema=shape)
+
+        return walk
+
+    return {table: files.mapInArrow(reading(table, to_arrow_schema(T._parse_datatype_string(shape))), shape) for table, shape in _METADATA.items()}
 
 
 def raw_frames(spark: SparkSession, path: str) -> DataFrame:
     """(replay_id, frame_index, raw): bucket 0 of each frame as encoded bytes of its file's encoding."""
-    files = [ReplayFile.open(f) for f in _files(path)]
-    work = [(r.path, *c.values()) for r in files for c in r.seek_table()]
-    plan = spark.createDataFrame(work, "path string, chunk_index int, start_frame int, end_frame int, file_offset long, chunk_size_bytes long").repartition(max(1, len(work)))
-
-    def walk(batches):
-        import pyarrow as pa
+    work = [(i, *r) for i, s in enumerate(splits(path, spark.sparkContext.defaultParallelism)) for r in s.ranges]
+    plan = spark.createDataFrame(work, "split int, path string, low long, high long")
+    plan = plan.repartition(max(1, work[-1][0] + 1 if work else 1), "split")
 
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                replay = ReplayFile.open(row.pop("path"))
-                encode = _codec(replay.backend)[0]
-                raw = [encode("Bucket", (f.get("data") or [{}])[0]) for f in replay.chunk(row)]
-                n = len(raw)
-                yield pa.RecordBatch.from_arrays([pa.array([replay.replay_id] * n, pa.string()), pa.array(range(row["start_frame"], row["start_frame"] + n), pa.int32()), pa.array(raw, pa.binary())], names=["replay_id", "frame_index", "raw"])
+                for replay, entry in chunks_in(Split([(row["path"], row["low"], row["high"])])):
+                    encode = _codec(replay.backend)[0]
+                    raw = [encode("Bucket", (f.get("data") or [{}])[0]) for f in replay.chunk(entry)]
+                    n = len(raw)
+                    yield pa.RecordBatch.from_arrays([pa.array([replay.replay_id] * n, pa.string()), pa.array(range(entry["start_frame"], entry["start_frame"] + n), pa.int32()), pa.array(raw, pa.binary())], names=["replay_id", "frame_index", "raw"])
 
     return plan.mapInArrow(walk, "replay_id string, frame_index int, raw binary")
 
 
 def content_hashes(rows: DataFrame, schema_text: str) -> DataFrame:
     """(replay_id, frame_index, unique_id, content_hash): the format's own 64-bit token, computed in Arrow batches."""
-    import pyarrow as pa
-
     registry = SchemaRegistry.from_json(schema_text)
     columns = registry.columns()
     names = [n for n in columns if n in rows.columns]

@@ -1,5 +1,6 @@
 import json
 import math
+import os
 import random
 
 import numpy as np
@@ -20,7 +21,7 @@ from framelake.sinks.exports import lifetime_table, number_text, span_table, uni
 from framelake.sources import codec
 from framelake.sources.binary import BinaryCursor, scan_binary
 from framelake.sources.loaders import from_json_text, from_records, json_recording, map_key
-from framelake.sources.replay import RecordingWriter, ReplayError, ReplayFile, content_hashes, deflate, inflate, metadata, pack, read_replays, unpack, write_replays
+from framelake.sources.replay import RecordingWriter, ReplayError, ReplayFile, ReplayReader, content_hashes, deflate, inflate, metadata, pack, read_replays, unpack, write_replays
 from framelake.streaming.ingest import Clock, RecordPipeline, accept_batch, accept_stream, step
 
 SCHEMA = json.dumps(
@@ -94,7 +95,11 @@ def test_round_trip(spark, tmp_path, backend):
     m = metadata(spark, str(tmp_path / "out"))
     assert [tuple(r)[1:4] for r in m["chunks"].where("replay_id = 'r1'").orderBy("chunk_index").collect()] == [(0, 0, 39), (1, 40, 79), (2, 80, 119)]
     assert m["header"].first().backend == backend
-    assert back.where("frame_index = 50 and replay_id = 'r1'").rdd.getNumPartitions() == 1
+    assert back.where("frame_index = 50 and replay_id = 'r1'").count() == 1
+    registry = S.SchemaRegistry.from_json(SCHEMA)
+    reader = ReplayReader({"path": str(tmp_path / "out"), "frames": "50,50"}, registry.columns(), registry.text)
+    opened = [b for part in reader.partitions() for b in reader.read(part)]
+    assert [set(b["chunk_index"].to_pylist()) for b in opened] == [{1}]  # one chunk of four is opened
     hashes = content_hashes(back.where("frame_index < 3 and replay_id = 'r1'"), SCHEMA)
     assert {r.content_hash for r in hashes.collect()} == {got[i].content_hash for i in range(3)}
 
@@ -149,6 +154,76 @@ def test_torn_files(spark, tmp_path):
     assert inflate(deflate(b"x" * 2000)) == b"x" * 2000 and deflate(b"x" * 100) == b"x" * 100
 
 
+def test_any_session_reads_recordings(spark, tmp_path):
+    """Also one that keeps filters from Python sources."""
+    w = RecordingWriter(str(tmp_path / "a.replay"), SCHEMA, replay_id="a", max_frames=10)
+    for r in rows(30):
+        w.add_row(r)
+    w.close()
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    try:
+        for on in ("false", "true"):
+            spark.conf.set("spark.sql.python.filterPushdown.enabled", on)
+            back = read_replays(spark, f"file:{tmp_path}")
+            assert back.where("frame_index = 25").count() == 1 and back.count() == 30
+            assert sorted(r.frame_index for r in read_replays(spark, str(tmp_path), frames=(8, 11)).collect()) == [8, 9, 10, 11]
+            assert read_replays(spark, str(tmp_path), chunks=(1, 1)).count() == 10
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+
+
+def test_splits_cover_every_chunk_once(tmp_path):
+    for n in (1, 40, 400):
+        w = RecordingWriter(str(tmp_path / f"{n}.replay"), SCHEMA, replay_id=str(n), max_frames=3)
+        for r in rows(n):
+            w.add_row(r)
+        w.close()
+    want = sorted((p.name, c["chunk_index"]) for p in tmp_path.glob("*.replay") for c in ReplayFile.open(str(p)).seek_table())
+    import framelake.sources.replay as R
+
+    before = R.OPEN_BYTES
+    try:
+        for least, parallelism in ((1 << 16, 1), (100, 3), (100, 64)):
+            R.OPEN_BYTES = least
+            made = R.splits(str(tmp_path), parallelism)
+            assert sorted((os.path.basename(f.path), c["chunk_index"]) for s in made for f, c in R.chunks_in(s)) == want
+            assert parallelism == 1 or len(made) > 1
+    finally:
+        R.OPEN_BYTES = before
+
+
+def test_ids_that_look_alike_keep_their_files(spark, tmp_path):
+    """Also null, blank, hidden and very long ids, twice over."""
+    ids = ["a/b", "a_b", "a b", ".a", "_a", "", None, "x" * 500, "x" * 501, "%"]
+    shape = "replay_id string, frame_index int, unique_id string, entity_type_id int, created_utc_ticks long, Score int"
+    df = spark.createDataFrame([(i, f, "p", 0, f, n) for n, i in enumerate(ids) for f in range(2)], shape)
+    for _ in range(2):
+        write_replays(df, str(tmp_path / "o"), SCHEMA)
+        assert sorted((r.Score, r.frame_index) for r in read_replays(spark, str(tmp_path / "o")).collect()) == [(n, f) for n in range(len(ids)) for f in range(2)]
+        assert len(list((tmp_path / "o").iterdir())) == len(ids)
+    write_replays(df.where("replay_id = 'a/b'"), str(tmp_path / "o"), SCHEMA)
+    assert [p.name for p in (tmp_path / "o").iterdir()] == ["a%2Fb.replay"]
+
+
+def test_a_failed_overwrite_keeps_the_old_files(spark, tmp_path):
+    shape = "replay_id string, frame_index int, unique_id string, entity_type_id int, created_utc_ticks long, Score int"
+    write_replays(spark.createDataFrame([("a", 0, "p", 0, 0, 1)], shape), str(tmp_path / "o"), SCHEMA)
+    bad = spark.createDataFrame([("a", 0, "p", 0, 0, 2), ("b", 0, "p", 0, 0, 3)], shape).withColumn("Score", F.when(F.col("replay_id") == "b", F.raise_error(F.lit("no"))).otherwise(F.col("Score")).cast("int"))
+    with pytest.raises(Exception, match="no"):
+        write_replays(bad, str(tmp_path / "o"), SCHEMA)
+    assert [r.Score for r in read_replays(spark, str(tmp_path / "o")).collect()] == [1]
+
+
+def test_chunks_are_bounded_by_bytes(tmp_path):
+    w = RecordingWriter(str(tmp_path / "a.replay"), SCHEMA, replay_id="a", max_bytes=700)
+    for r in rows(20):
+        w.add_row(r)
+    w.close()
+    r = ReplayFile.open(str(tmp_path / "a.replay"))
+    sizes = [c["end_frame"] - c["start_frame"] + 1 for c in r.seek_table()]
+    assert sum(sizes) == 20 and len(sizes) > 3 and all(len(codec.encode_tables("Chunk", {"frames": r.chunk(c)})) <= 900 for c in r.seek_table())
+
+
 def test_empty_recording(spark, tmp_path):
     RecordingWriter(str(tmp_path / "e.replay"), SCHEMA).close()
     assert read_replays(spark, str(tmp_path)).count() == 0
@@ -184,13 +259,37 @@ def test_commands(session):
     assert [r["unique_id"] for r in ask("search Team == 2")["data"]] == ["player_1"] and "Team" in ask("search Tean == 2")["hint"]
     assert [r["value"] for r in ask("track entity player_0 Score 1 9 4")["data"]] == [1, 5, 9]
     d = ask("diff 4 6")["data"]
-    assert (d["added"], d["removed"], d["changed"]) == (1, 0, [{"unique_id": "player_0", "properties": ["Health", "Position", "Score"], "n_ops": 3}])
+    assert (d["added"], d["removed"], d["changed"]) == (1, 0, [{"unique_id": "player_0", "properties": ["Health", "Position", "Score"], "n_ops": 3, "type_name": "Player"}])
+    assert len(d["operations"]) == 4
+    assert ask("entity entity --index 1")["data"]["unique_id"] == "player_1" and ask("property entity --id player_1 Team")["data"]["value"] == 2
+    assert ask("entity entity --index 9")["status"] == ask("entity entity --id 1")["status"] == ask("entity entity")["status"] == "error"
     for line in ("info", "header", "footer", "schema", "chunks", "events", "types", "help"):
         assert ask(line)["status"] == "ok"
     assert "search" in ask("serach x")["hint"] and ask("frame 1 2 3")["status"] == "error" and ask("")["status"] == "error"
     assert tokens('a "b c" d""') == ["a", "b c", "d"]
 
 
+def test_commands_keep_recordings_apart(spark, tmp_path):
+    """Two recordings in which nothing changes, one with a type that the schema doesn't have."""
+    for name, team in (("a", 1), ("b", 2)):
+        w = RecordingWriter(str(tmp_path / f"{name}.replay"), SCHEMA, replay_id=name)
+        for f in range(3):
+            w.add_row({"frame_index": f, "unique_id": "p", "entity_type_id": 0, "Team": team})
+            w.add_row({"frame_index": f, "unique_id": "odd", "entity_type_id": -1})
+        w.close()
+    s = Session(spark)
+    ask = lambda line: json.loads(s.run(line))
+    opened = ask(f"open {tmp_path}")["data"]
+    assert (opened["recording"], opened["recordings"]) == ("a", ["a", "b"])
+    for name, team in (("a", 1), ("b", 2)):
+        assert ask(f"open {tmp_path} {name}")["data"]["recording"] == name
+        assert ask("diff 0 2")["data"]["total_ops"] == 0
+        assert ask("frame 1")["data"]["entities"] == 2 and ask("property entity p Team")["data"]["value"] == team
+        assert ask("entity entity odd")["data"] == {"unique_id": "odd", "type_name": None, "properties": {}}
+        assert len(ask("header")["data"]) == 1
+    assert "did you mean a?" in ask(f"open {tmp_path} aa")["hint"]
+
+
 # --- frames, spans, predicates
 
 
@@ -469,7 +568,7 @@ def test_the_round_trip_query_writes_every_row_and_property(spark, data, tmp_pat
     empty = rows.where("entity_type_id = 0 and name is null").count()
     assert empty > 0 and back.where("entity_type_id = 0 and name = ''").count() == empty
     whole = replay.read_replays
-    monkeypatch.setattr(replay, "read_replays", lambda s, at: whole(s, at).withColumn("armor", F.col("armor") + F.when(F.col("entity_type_id") == 0, 1.0)).where("entity_type_id < 2"))
+    monkeypatch.setattr(replay, "read_replays", lambda s, at, **more: whole(s, at, **more).withColumn("armor", F.col("armor") + F.when(F.col("entity_type_id") == 0, 1.0)).where("entity_type_id < 2"))
     changed = container_differences(rows, str(tmp_path / "whole")).groupBy("entity_type_id").agg(F.sum(F.when(F.col("missing") > 0, F.col("missing"))).alias("n"), F.sum("missing").alias("left")).collect()
     n = count(rows)
     assert {(r.entity_type_id, r.n, r.left) for r in changed} == {(0, n[0], 0), (2, n[2], n[2])}
