@@ -24,10 +24,8 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose text does not come back from its ids (none; null and empty texts have empty lists)."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("given"))
-    back = bpe.decode_ids(p7_ids(spark, d), automaton())
-    return back.join(docs, "doc_id").select("doc_id", (F.col("text") == F.col("given")).alias("same"))
+    """Each document's text as it comes back from its ids; null and empty texts, which have empty lists, as an empty text."""
+    return bpe.decode_ids(p7_ids(spark, d), automaton())
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
@@ -44,6 +42,12 @@ def p8_use(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Documents placed per target, and broken rules of place, room and wholeness (none)."""
+    sizes = bpe.count_tokens(table(spark, d, "documents"), automaton())
+    return packing.faults(p8_packed(spark, d), sizes, table(spark, d, "pack_targets"))
+
+
 def _redactor(spark: SparkSession, d: str) -> pii.Redactor:
     return pii.fit(table(spark, d, "documents"), table(spark, d, "members"))
 
@@ -57,8 +61,14 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_use": p8_use, "p9_found": p9_found, "p9_redacted": p9_redacted}
+    return {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_packed": p8_packed, "p8_use": p8_use, "p8_faults": p8_faults, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p8_faults": """
+SELECT target_id, (SELECT count(*) FROM documents WHERE text <> '') AS n_items, 0::BIGINT AS n_overfull, 0::BIGINT AS n_misplaced, 0::BIGINT AS n_broken
+FROM (SELECT DISTINCT target_id FROM pack_targets WHERE capacity > 0)
+""",
+    }

@@ -39,7 +39,7 @@ def test_ids_of_documents(spark, data, automaton, library):
     got = plans.p7_ids(spark, data)
     assert got.dtypes == [("doc_id", "bigint"), ("ids", "array<int>")]
     assert {r.doc_id: list(r.ids) for r in got.collect()} == want
-    assert plans.p7_decoded(spark, data).where("not same").count() == 0
+    assert {r.doc_id: r.text for r in plans.p7_decoded(spark, data).collect()} == {r.doc_id: r.text or "" for r in docs.collect()}
 
 
 def test_automaton_equals_merging_pair_by_pair():
@@ -140,6 +140,28 @@ def test_packing_edges(spark):
     assert max(r["sum(token_end)"] - r["sum(token_start)"] for r in fill) <= 10
 
 
+def test_packing_is_online():
+    """What comes later moves nothing that has been placed."""
+    rng = random.Random(1)
+    sizes = [rng.randint(1, 90) for _ in range(400)]
+    frame = lambda n: pd.DataFrame({"item": range(n), "size": sizes[:n]})
+    whole = packing.pack_group(frame(400), 64)
+    for n in (1, 57, 399):
+        early = packing.pack_group(frame(n), 64)
+        assert early.equals(whole.iloc[: len(early)])
+
+
+def test_faults_are_told(spark):
+    sizes = spark.createDataFrame([(1, 5), (2, 7)], "doc_id long, n_tokens int")
+    targets = spark.createDataFrame([(1, 10)], "target_id int, capacity int")
+    told = lambda rows: tuple(packing.faults(spark.createDataFrame(rows, "target_id int, container_id long, place int, offset int, doc_id long, token_start int, token_end int"), sizes, targets).first())
+    assert told([(1, 0, 0, 0, 1, 0, 5), (1, 1, 0, 0, 2, 0, 7)]) == (1, 2, 0, 0, 0)
+    assert told([(1, 0, 0, 0, 1, 0, 5), (1, 0, 1, 5, 2, 0, 7)]) == (1, 2, 1, 0, 0)
+    assert told([(1, 0, 0, 0, 1, 0, 5), (1, 1, 0, 1, 2, 0, 7)]) == (1, 2, 0, 1, 0)
+    assert told([(1, 0, 0, 0, 1, 1, 5), (1, 1, 0, 0, 2, 0, 4), (1, 2, 0, 0, 2, 4, 7)]) == (1, 2, 0, 0, 2)
+    assert packing.faults(packing.pack(sizes, targets, 2, per_packer=1), sizes, targets).collect() == [(1, 2, 0, 0, 0)]
+
+
 # --- personal information
 
 
