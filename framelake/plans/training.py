@@ -70,7 +70,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
-    return drift.consistent_table(table(spark, d, "raw_records"), drift.schema_fields(table(spark, d, "schema_files")))
+    return drift.consistent_table(table(spark, d, "raw_records"), table(spark, d, "schema_files"))
+
+
+def p2_filled(spark: SparkSession, d: str) -> DataFrame:
+    return drift.filled(p2_table(spark, d))
 
 
 def p2_alternatives(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +194,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "p1_found": p1_found, "p1_report": p1_report,
-        "p2_found": p2_found, "p2_table": p2_table, "p2_alternatives": p2_alternatives,
+        "p2_found": p2_found, "p2_table": p2_table, "p2_filled": p2_filled, "p2_alternatives": p2_alternatives,
         "p3_found": p3_found,
         "p4_found": p4_found, "p4_runs": p4_runs,
         "p5_found": p5_found,
