@@ -285,8 +285,10 @@ SELECT * EXCLUDE n, row_number() OVER (PARTITION BY studio_id, struct_name, fiel
 WITH RECURSIVE {_VERSIONS_SQL},
 d AS (SELECT DISTINCT record_id, studio_id, schema_version, struct_name, recorded_at, payload FROM raw_records),
 e AS (SELECT *, string_split(regexp_replace(trim(schema_version), '^[vV]', ''), '.')::int[] AS p FROM d),
-j AS (SELECT e.* EXCLUDE p, coalesce([p[1], coalesce(p[2], 0), coalesce(p[3], 0)],
-    (SELECT arg_max(o.v, (o.since, o.n)) FROM o WHERE o.studio_id = e.studio_id AND o.since <= e.recorded_at), (SELECT arg_min(o.v, (o.since, o.n)) FROM o WHERE o.studio_id = e.studio_id)) AS v FROM (SELECT * REPLACE (CASE WHEN schema_version IS NOT NULL THEN p END AS p) FROM e) e),
+j AS (
+  SELECT e.* EXCLUDE p, CASE WHEN schema_version IS NOT NULL THEN [p[1], coalesce(p[2], 0), coalesce(p[3], 0)] ELSE coalesce(
+    (SELECT arg_max(o.v, (o.since, o.n)) FROM o WHERE o.studio_id = e.studio_id AND o.since <= e.recorded_at),
+    (SELECT arg_min(o.v, (o.since, o.n)) FROM o WHERE o.studio_id = e.studio_id)) END AS v FROM e),
 y AS (SELECT j.studio_id, j.struct_name, w.root, (j.payload::json->>w.nm) IS NOT NULL AS filled FROM j JOIN w ON w.studio_id = j.studio_id AND w.st = j.struct_name AND w.v = j.v)
 SELECT studio_id, struct_name, root AS field_name, count_if(filled)::BIGINT AS n_filled FROM y GROUP BY ALL HAVING count_if(filled) > 0
 """,
