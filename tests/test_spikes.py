@@ -75,6 +75,46 @@ def test_planted_readings(spark, more):
     assert found(spark, rows, **more) == want
 
 
+@pytest.mark.parametrize("block", [7, 40, 333])
+def test_blocks_change_nothing(spark, block):
+    """Courses of uneven noise, whose spread differs from part to part."""
+    rng = random.Random(8)
+    rows = course("p", 900) + course("q", 700, seed=2)
+    for r in rows:
+        calm = r[2] % 400 < 200
+        r[6] = [c + rng.gauss(0, 0.05 if calm else 3.0) for c in r[6]]
+        if rng.random() < 0.02:
+            r[6][1] += rng.choice([9.0, 25.0, 60.0, 300.0])
+        if rng.random() < 0.02:
+            r[5][1] += rng.choice([0.3, 0.8, 4.0])
+        if rng.random() < 0.02:
+            r[7] -= rng.choice([3.0, 14.0, 40.0])
+        if rng.random() < 0.1:
+            r[rng.choice([5, 6, 7])] = None
+    rows = [r for r in rows if rng.random() > 0.05]
+    want = found(spark, rows)
+    assert len(want) > 20 and found(spark, rows, block=block, batch_rows=100) == want
+
+
+def test_the_lifting_keeps_even_courses_and_tells_levels():
+    import numpy as np
+
+    from framelake.operators import spikes
+
+    n = 64
+    t, seg = np.arange(n, dtype=float), np.zeros(n, int)
+    line = np.stack([3 * t, -t, 0 * t], axis=1)
+    assert all(np.nanmax(s) < 1e-9 for s in spikes._lifted(line, t, seg))
+    wide = line.copy()
+    wide[30:33, 2] += 10
+    one, two = spikes._lifted(wide, t, seg)
+    assert one[31] < 1e-9 and two[31] > 7  # the middle of a span of three shows at the second level
+    uneven = np.sort(np.random.default_rng(0).choice(400, n, replace=False)).astype(float)
+    assert np.nanmax(spikes._lifted(uneven[:, None] * 2.0, uneven, seg)[0]) < 1e-9
+    counts = np.bincount(spikes.bucket_of(np.full(9, 3.0)), minlength=spikes.BUCKETS)
+    assert 1.4826 * 3 / 1.2 < spikes.spread_of(counts) < 1.4826 * 3 * 1.2 and spikes.spread_of(counts * 0) == 0
+
+
 def test_five_equal_readings_and_standing_still_are_fine(spark):
     rows = course()
     for f in range(31, 35):
