@@ -225,20 +225,53 @@ def test_fits_on_nothing(spark):
     assert r.find([None, "", "Write to a@b.test."])[0] == []
 
 
-def test_held_out_agreement(spark, data):
-    """Trees fitted on some documents agree with the labelling functions on others."""
+def test_held_out_planted_cases(spark, data, redactor):
+    """Cases in documents and sentences that nothing was fitted on; the trees tell what candidates alone don't."""
     big = data.replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{big}/documents.parquet")
-    r = pii.fit(docs, spark.read.parquet(f"{big}/members.parquet"), sample_docs=500)
-    good = made = right = 0
-    for row in docs.where("doc_id % 2 = 1").collect():
-        for c in pii.candidates(row.text, r.lexicon):
-            if c.label is not None:
-                hit = r.trees[c.kind].predict(np.array([c.features]))[0] >= r.thresholds[c.kind]
-                good += c.label
-                made += hit
-                right += hit and c.label
-    assert right / max(1, made) > 0.9 and right / max(1, good) > 0.9
+
+    all_alike = BoostedTrees()
+    all_alike.base = 20.0
+    score = lambda r: {x.kind: (x.n_both / max(1, x.n_found), x.n_both / x.n_true) for x in pii.evaluate(docs, r).collect()}
+    trees = score(redactor)
+    bare = score(pii.Redactor(redactor.lexicon, dict.fromkeys(pii.KINDS, all_alike), redactor.thresholds))
+    print("trees", trees, "candidates alone", bare)
+    for kind in pii.KINDS:
+        precision, recall = trees[kind]
+        assert precision > 0.9 and recall > 0.8, (kind, trees[kind])
+    assert sum(p * r for p, r in bare.values()) < sum(p * r for p, r in trees.values()) - 0.5
+
+
+def test_labels_come_from_planting_alone(redactor):
+    """A sentence's labels are its planted spans, and what the trees see holds no label."""
+    from framelake.llm import planting
+
+    pools = pii.pools_of(redactor.lexicon)
+    text = "The harbour office counted the long queue again. No minister paid for the apple harvest. Half the village forgot the missing map."
+    seen = 0
+    for i in range(60):
+        rng = random.Random(i)
+        whole, stretches, cases = planting.planted(text, rng, planting.TRAIN, pools)
+        assert all(any(a <= s and e <= b for a, b in stretches) for _, s, e in cases)
+        rest = whole
+        for a, b in reversed(stretches):
+            rest = rest[: a - 1] + rest[b:]
+        assert rest == text
+        seen += len(cases)
+    assert seen > 100
+    made = pii.labelled(text, redactor.lexicon, pools)
+    assert made and {y for _, y in made} == {0, 1} and not hasattr(made[0][0], "label")
+    assert not {t for ts in planting.HELD_OUT.values() for t in ts} & {t for ts in planting.TRAIN.values() for t in ts}
+
+
+def test_names_of_members_in_any_form(redactor):
+    lex = redactor.lexicon
+    first, last = next((f, l) for f, l in sorted(lex.members) if len(l) > 4)
+    name = f"{first.title()} {last.title()}"
+    for text in (f"We thank {name} for that.", f"We thank Mr {last.title()} for that.", f"We thank {first[0].upper()}. {last.title()} for that.", f"We thank {first.title()} {last[:-1].title()} for that."):
+        assert redactor.find([text])[0] == [], text
+    other = f"I had a letter from Mrs Zuwonna {last.title()} today. Mrs {last.title()} is ill."
+    assert [other[s:e] for _, s, e, _ in redactor.find([other])[0]] == [f"Zuwonna {last.title()}", last.title()]
 
 
 def test_quick_looks_accept_what_their_patterns_accept():
