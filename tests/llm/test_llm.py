@@ -208,6 +208,12 @@ def test_members_are_no_cases(redactor):
     assert redactor.find([text])[0] == []
 
 
+def test_a_fitted_redactor_is_kept(redactor, tmp_path):
+    redactor.save(str(tmp_path / "r"))
+    text = CASES[0][0]
+    assert pii.Redactor.load(str(tmp_path / "r")).find([text]) == redactor.find([text])
+
+
 def test_null_empty_and_long_texts(spark, redactor):
     long = "No minister paid for the long queue. " * 3000 + "Reach me on 0555/7654-63."
     df = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, " \n", "a"), (4, long, "a"), (4, long, "a")], "doc_id long, text string, kind string")
@@ -283,8 +289,14 @@ def test_quick_looks_accept_what_their_patterns_accept():
     made = ["".join(rng.choice(p) for p in parts) + " " + rng.choice(words) for _ in range(500)] + [f"Haupt{k} {n}" for k in ("straße", "str.", "weg", "platz") for n in parts[0]]
     hits = 0
     for t in given + made:
-        for quick, pattern in zip(pii.MAYBE_ADDRESS, pii.ADDRESSES, strict=True):
-            if pattern.search(t):
+        t = f"It was at {t}, they say."
+        told = {(language, *m.span()) for language, m in pii._addresses(t)}
+        for language, pattern in enumerate(pii.ADDRESSES):
+            for m in pattern.finditer(t):
                 hits += 1
-                assert quick.search(t), (t, pattern.pattern)
+                assert (language, *m.span()) in told, (t, pattern.pattern)
     assert hits > 100
+    numbers = ["0555 123 456 ext. 12", "+999 (0)58 693021", "K1489256", "AB 12 34 56 C", "123456-1234", "PX569456G", "72 612 356 920", "(0555) 12-34-56", "1234567"]
+    for _ in range(300):
+        t = " ".join(rng.choice(numbers + ["and", "on", "x", "é", "12.5", "2031-02-24", "-"]) for _ in range(6))
+        assert {m.span() for _, m in pii._numbers(t)} == {m.span() for p in (pii.NUMBER, pii.CODE) for m in p.finditer(t)}, t
