@@ -58,6 +58,22 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({"bucket_index": F.lit(0), "bucket_name": F.lit("entity")})
 
 
+def deliveries(spark: SparkSession, d: str, type_id: int) -> DataFrame:
+    """All rows of one type as delivered, ids normalised: for operators that choose among repeats themselves."""
+    _, source, properties = TYPES[type_id]
+    rows = table(spark, d, source).withColumns({"unique_id": clean_id("unique_id"), "entity_type_id": F.lit(type_id)})
+    return rows.select(*KEYS, "entity_type_id", "arrived_at", *properties)
+
+
+def presence(spark: SparkSession, d: str) -> DataFrame:
+    """(replay_id, frame_index, unique_id, entity_type_id) of all entities, repeats included."""
+    parts = [deliveries(spark, d, t).select(*KEYS, "entity_type_id") for t in TYPES]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def frame_at(rows: DataFrame, index: int) -> DataFrame:
     """One frame; no rows where it does not exist."""
     return rows.where(F.col("frame_index") == index)

@@ -4,41 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelake.frames import frame_stride
 from framelake.operators.runs import collapse_runs
-from framelake.operators.snapshots import neighbours
 
+#: Frames of a block; a recording's blocks are worked on apart.
+BLOCK = 1024
 
-def with_frame_before(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``before``: the recording's previous frame that has the bucket, so gaps of the bucket do not count."""
-    present = neighbours(rows.select("replay_id", "frame_index").distinct(), ["replay_id"], "frame_index")
-    present = present.select(F.col("replay_id").alias("__r"), F.col("frame_index").alias("__f"), "before")
-    return rows.join(present, F.col("replay_id").eqNullSafe(F.col("__r")) & (F.col("frame_index") == F.col("__f"))).drop("__r", "__f")
 
+def _placed(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``rows`` lying by (recording, block of frames), the one shuffle that all later windows over frames share."""
+    rows = rows.where(F.col("frame_index").isNotNull()).withColumns({"__rk": F.coalesce(F.col("replay_id").cast("string"), F.lit("\0")), "__fb": F.floor(F.col("frame_index") / block)})
+    return rows.repartition("__rk", "__fb")
 
-def lifetimes(rows: DataFrame) -> DataFrame:
+
+def _with_ordinal(placed: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``placed`` with ``__ord``: the number of a row's frame among the recording's frames that have the bucket.
+
+    Inside a block by a window; where a block begins comes from one row a block, counted from the frames alone.
+    """
+    frames = rows.where(F.col("frame_index").isNotNull()).select(F.coalesce(F.col("replay_id").cast("string"), F.lit("\0")).alias("__rk"), F.floor(F.col("frame_index") / block).alias("__fb"), "frame_index")
+    counts = frames.groupBy("__rk", "__fb").agg(F.size(F.collect_set("frame_index")).alias("__n"))
+    before = W.partitionBy("__rk").orderBy("__fb").rowsBetween(W.unboundedPreceding, -1)
+    bases = counts.select("__rk", "__fb", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    within = F.dense_rank().over(W.partitionBy("__rk", "__fb").orderBy("frame_index"))
+    return placed.withColumn("__within", within).join(bases, ["__rk", "__fb"]).withColumn("__ord", F.col("__base") + F.col("__within")).drop("__base", "__within")
+
+
+def lifetimes(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """(replay_id, unique_id, entity_type_id, start_frame, end_frame, n_frames) of each stretch of presence.
 
-    Presence is contiguous over the frames that have the bucket. The type is the one at first sight of the stretch.
+    Presence is contiguous over the frames that have the bucket; repeated rows count once. The type is
+    the one at first sight of the stretch (of several, the least). Rows without a frame are left out.
     """
-    seen = with_frame_before(rows.select("replay_id", "frame_index", "unique_id", "entity_type_id"))
-    follows = lambda prev, cur: prev("frame_index") == cur("before")
-    runs = collapse_runs(seen, ["replay_id", "unique_id"], "frame_index", ["frame_index", "before", "entity_type_id"], follows, combine=False)
+    own = rows.select("replay_id", "frame_index", "unique_id", "entity_type_id")
+    seen = _placed(own, block).groupBy("__rk", "__fb", "replay_id", "frame_index", "unique_id").agg(F.min("entity_type_id").alias("entity_type_id"))
+    seen = _with_ordinal(seen, rows, block)
+    follows = lambda prev, cur: prev("__ord") == cur("__ord") - 1
+    runs = collapse_runs(seen, ["__rk", "replay_id", "unique_id"], "frame_index", ["__ord", "entity_type_id"], follows, combine=False, blocks="__fb")
     return runs.select("replay_id", "unique_id", F.col("state_entity_type_id").alias("entity_type_id"), F.col("first").alias("start_frame"), F.col("last").alias("end_frame"), F.col("n_events").alias("n_frames"))
 
 
-def value_spans(rows: DataFrame, properties: Sequence[str]) -> DataFrame:
+def value_spans(rows: DataFrame, properties: Sequence[str], delivered: Column | None = None, block: int = BLOCK) -> DataFrame:
     """(replay_id, unique_id, property, value, start_frame, end_frame) of each stretch of one value (as text).
 
-    A span ends when the value changes or the entity is absent from a frame that has the bucket. Null is a value.
+    A span ends when the value changes or the entity is absent from a frame that has the bucket. Null
+    is a value. Of several rows of an entity's frame the last ``delivered`` counts. Rows without a frame are left out.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("property"), F.col(p).cast("string").alias("value")) for p in properties]))
-    long = with_frame_before(rows).select("replay_id", "frame_index", "unique_id", "before", pairs.alias("x")).select("replay_id", "frame_index", "unique_id", "before", "x.*")
-    same = lambda prev, cur: (prev("frame_index") == cur("before")) & prev("value").eqNullSafe(cur("value"))
-    runs = collapse_runs(long, ["replay_id", "unique_id", "property"], "frame_index", ["frame_index", "before", "value"], same, combine=False)
+    cells = [F.col(p).cast("string").alias(f"__p{i}") for i, p in enumerate(properties)]
+    own = _placed(rows.select("replay_id", "frame_index", "unique_id", *cells, (F.lit(None).cast("int") if delivered is None else delivered).alias("__d")), block)
+    w = W.partitionBy("__rk", "__fb", "frame_index", "unique_id").orderBy(F.col("__d").desc_nulls_last())
+    own = own.withColumn("__n", F.row_number().over(w)).where(F.col("__n") == 1).drop("__n", "__d")
+    pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("property"), F.col(f"__p{i}").alias("value")) for i, p in enumerate(properties)]))
+    long = _with_ordinal(own, rows, block).select("__rk", "__fb", "replay_id", "frame_index", "unique_id", "__ord", pairs.alias("x")).select("*", "x.property", "x.value").drop("x")
+    same = lambda prev, cur: (prev("__ord") == cur("__ord") - 1) & prev("value").eqNullSafe(cur("value"))
+    runs = collapse_runs(long, ["__rk", "replay_id", "unique_id", "property"], "frame_index", ["__ord", "value"], same, combine=False, blocks="__fb")
     return runs.select("replay_id", "unique_id", "property", F.col("state_value").alias("value"), F.col("first").alias("start_frame"), F.col("last").alias("end_frame"))
 
 

@@ -28,6 +28,7 @@ def collapse_runs(
     block: int = 8192,
     min_length: int = 1,
     combine: bool = True,
+    blocks: str | None = None,
 ) -> DataFrame:
     """One row a run: keys, first, last (of ``order``), n_events, state_<c> of its first event, duration.
 
@@ -37,22 +38,25 @@ def collapse_runs(
     repeats and are not counted. duration is the difference of ``clock`` (else of ``order``) between the first
     and last event; null clocks are passed over. ``combine`` is for inputs that may hold many
     copies of an event; without it results are the same. Events with a null order are left out, null
-    keys form sequences like other values; an empty input gives no runs.
+    keys form sequences like other values; an empty input gives no runs. ``blocks`` names a column
+    of block numbers that the input already lies by (in place of ``block``); places must then be distinct.
     """
     keys, state = list(keys), list(state)
     at = F.col(order)
     clock_column = F.col(clock) if clock else at
     rows = events.where(at.isNotNull()).select(
-        *keys, at.alias("__at"), clock_column.alias("__clock"), *[F.col(c).alias(f"__s_{c}") for c in state], *[t.alias(f"__t{i}") for i, t in enumerate(tie)]
+        *keys, at.alias("__at"), clock_column.alias("__clock"), *[F.col(c).alias(f"__s_{c}") for c in state], *[t.alias(f"__t{i}") for i, t in enumerate(tie)],
+        (F.col(blocks) if blocks else F.floor(at / block)).alias("__block"),
     )
-    rows = rows.withColumn("__block", F.floor(F.col("__at") / block))
     if combine:  # copies of an event, before the shuffle, however many there are
         latest = [F.max(f"__t{i}").alias(f"__t{i}") for i in range(len(tie))]
         rows = rows.groupBy(*keys, "__at", *[f"__s_{c}" for c in state], "__block").agg(F.min("__clock").alias("__clock"), *latest)
     ties = [F.col(c).desc_nulls_last() for c in (*[f"__t{i}" for i in range(len(tie))], *[f"__s_{c}" for c in state])]
     w = W.partitionBy(*keys, "__block").orderBy("__at", *ties)
-    rows = rows.withColumn("__before", F.lag("__at").over(w)).where(~F.col("__before").eqNullSafe(F.col("__at"))).drop(*[f"__t{i}" for i in range(len(tie))])
-    w = W.partitionBy(*keys, "__block").orderBy("__at")
+    rows = rows.withColumn("__before", F.lag("__at").over(w))
+    if not blocks:
+        rows = rows.where(~F.col("__before").eqNullSafe(F.col("__at"))).drop(*[f"__t{i}" for i in range(len(tie))])
+        w = W.partitionBy(*keys, "__block").orderBy("__at")
     back = {c: F.lag(f"__s_{c}").over(w) for c in state}
     together = F.col("__before").isNotNull() & F.coalesce(same(lambda c: back[c], lambda c: F.col(f"__s_{c}")), F.lit(False))
     rows = rows.withColumn("__new", F.when(together, 0).otherwise(1))

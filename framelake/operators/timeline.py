@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.operators.blocked import running, with_previous
+from framelake.operators.blocked import Running, accumulated, running, windows
 
 TICKS = 10_000_000
 KEY = ["replay_id"]
@@ -35,18 +35,22 @@ def accepted(clock: DataFrame, value: str, increasing: bool = True, arrival: str
 
 def numbered(clock: DataFrame, order: str = "frame_index") -> DataFrame:
     """``marker``: 1 for the first frame of a recording, counting accepted frames."""
-    return running(clock, KEY, order, {"marker": ("count", F.lit(1), True)})
+    return running(clock, KEY, order, _marker())
+
+
+def _marker() -> Running:
+    return {"marker": ("count", F.lit(1), True)}
 
 
 def gaps(clock: DataFrame, fps: Column, factor: float = 3) -> DataFrame:
     """Frames more than ``factor`` frame steps after the one before (in utc_ticks)."""
-    rows = with_previous(numbered(clock), KEY, "frame_index", ["utc_ticks"])
+    rows = windows(clock, KEY, "frame_index", ["utc_ticks"], _marker())
     return rows.where(F.col("utc_ticks") - F.col("prev_utc_ticks") > factor * frame_step(fps)).select("replay_id", "frame_index", "marker", (F.col("utc_ticks") - F.col("prev_utc_ticks")).alias("step_ticks"))
 
 
 def segments(clock: DataFrame, value: str, increasing: bool = True, marked: DataFrame | None = None) -> DataFrame:
     """Frames where the game clock runs against its direction, and those marked by hand (replay_id, marker), each once."""
-    rows = with_previous(numbered(clock), KEY, "frame_index", [value])
+    rows = windows(clock, KEY, "frame_index", [value], _marker())
     turn = F.col(value) < F.col(f"prev_{value}") if increasing else F.col(value) > F.col(f"prev_{value}")
     found = rows.where(turn).select("replay_id", "marker")
     return found if marked is None else found.unionByName(marked.select("replay_id", "marker")).distinct()
@@ -66,11 +70,11 @@ def game_time_from_utc(clock: DataFrame) -> DataFrame:
 
 def utc_from_game_time(clock: DataFrame, fps: Column, start_utc: int = 0, increasing: bool = True) -> DataFrame:
     """UTC from the game clock; where that stands still or turns back, UTC goes on by one frame step."""
-    rows = with_previous(clock, KEY, "frame_index", ["game_ticks"])
-    d = F.col("game_ticks") - F.col("prev_game_ticks")
-    step = F.when(d > 0, d).otherwise(frame_step(fps)) if increasing else F.when(d < 0, d).otherwise(-frame_step(fps))
-    rows = rows.withColumn("__step", F.when(F.col("prev_game_ticks").isNull(), F.lit(start_utc) + F.col("game_ticks")).otherwise(step))
-    return running(rows, KEY, "frame_index", {"fake_utc_ticks": ("sum", F.col("__step"), True)}).drop("__step", "prev_game_ticks")
+    def step(before: Column, now: Column) -> Column:
+        d = now - before
+        return F.when(d > 0, d).otherwise(frame_step(fps)) if increasing else F.when(d < 0, d).otherwise(-frame_step(fps))
+
+    return accumulated(clock, KEY, "frame_index", "fake_utc_ticks", "game_ticks", F.lit(start_utc) + F.col("game_ticks"), step)
 
 
 def chunk_of(marker: Column, max_frames: int = 1000) -> Column:

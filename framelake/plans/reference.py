@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.frames import TYPES, entities, flattened, frame_at, frame_context, frame_range, frame_stride, frames, nested, players
+from framelake.frames import TYPES, deliveries, entities, flattened, frame_at, frame_context, frame_range, frame_stride, frames, nested, players, presence
 from framelake.functions import arrays, text
 from framelake.functions import time as ticks
 from framelake.operators import analysis, diff, mutate, timeline
@@ -62,7 +62,7 @@ x AS (SELECT e.*, o, o - row_number() OVER (PARTITION BY e.replay_id, unique_id
 SELECT replay_id, unique_id, min(entity_type_id) AS entity_type_id, min(frame_index) AS start_frame, max(frame_index) AS end_frame, count(*) AS n_frames FROM x GROUP BY replay_id, unique_id, g
 """)
 def entity_lifetime(spark, d):
-    return analysis.lifetimes(frames(spark, d))
+    return analysis.lifetimes(presence(spark, d))
 
 
 @query("track_spans", f"""
@@ -75,7 +75,7 @@ z AS (SELECT *, sum(c) OVER (PARTITION BY replay_id, unique_id, property ORDER B
 SELECT replay_id, unique_id, property, any_value(value) AS value, min(frame_index) AS start_frame, max(frame_index) AS end_frame FROM z GROUP BY replay_id, unique_id, property, g
 """)
 def track_spans(spark, d):
-    return analysis.value_spans(players(spark, d), ["team", "is_alive", "score"])
+    return analysis.value_spans(deliveries(spark, d, 0), ["team", "is_alive", "score"], F.col("arrived_at"))
 
 
 @query("unique_properties", f"""
@@ -740,7 +740,7 @@ def schema_evolution(spark, d):
 def export_lifetimes(spark, d):
     from framelake.sinks.exports import lifetime_table, with_times
 
-    lives = analysis.lifetimes(frames(spark, d))
+    lives = analysis.lifetimes(presence(spark, d))
     return lifetime_table(with_times(lives, clock(spark, d)), {t: name for t, (name, _, _) in TYPES.items()})
 
 
@@ -748,7 +748,7 @@ def export_lifetimes(spark, d):
 def export_spans(spark, d):
     from framelake.sinks.exports import span_table, with_times
 
-    return span_table(with_times(analysis.value_spans(players(spark, d), ["team", "is_alive"]), clock(spark, d)))
+    return span_table(with_times(analysis.value_spans(deliveries(spark, d, 0), ["team", "is_alive"], F.col("arrived_at")), clock(spark, d)))
 
 
 def queries() -> dict[str, Query]:
