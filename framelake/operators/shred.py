@@ -15,9 +15,11 @@ objects or lists are never shared or folded, they stay columns.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,7 @@ _GAP = re.compile(r"[\s\-]+")
 MAX_PATHS = 10_000
 
 
+@lru_cache(maxsize=1 << 16)
 def plain_name(key: str) -> str:
     """One spelling for keys: snake case in lower case."""
     return _GAP.sub("_", _HUMP.sub("_", key.strip())).lower()
@@ -148,6 +151,9 @@ def _spark_type(kinds: frozenset[str]) -> str:
     return "string"
 
 
+KINDS = ("null", "bool", "int", "float", "object", "text", "list")
+
+
 def _kind(value) -> str:
     if value is None:
         return "null"
@@ -171,24 +177,50 @@ def _as_object(value):
     return value
 
 
-def _edges(value: dict, path: str, out: set[tuple[str, str]]) -> None:
-    for key, v in value.items():
+_PLAIN = {type(None): "null", bool: "bool", int: "int", float: "float"}
+
+
+class Edges:
+    """(path, kind) pairs of the values below objects; an object below its own kind is taken at the outer place.
+
+    What a key leads to is worked out once per (path, key).
+    """
+
+    def __init__(self):
+        self.kinds: dict[str, set[str]] = {}
+        self.known: dict[tuple[str, str], tuple[str, set[str]]] = {}
+
+    def _step(self, path: str, key: str) -> tuple[str, set[str]]:
         name = plain_name(key)
         here = f"{path}.{name}" if path else name
         names = path.split(".") if path else []
-        below = ".".join(names[: names.index(name) + 1]) if name in names else here  # an object below its own kind
-        v = _as_object(v)
-        if isinstance(v, list):
-            out.add((here, "list"))
-            for entry in v:
-                entry = _as_object(entry)
-                out.add((here, _kind(entry)))
-                if isinstance(entry, dict):
-                    _edges(entry, below, out)
-        else:
-            out.add((here, _kind(v)))
-            if isinstance(v, dict):
-                _edges(v, below, out)
+        below = ".".join(names[: names.index(name) + 1]) if name in names else here
+        step = self.known[path, key] = below, self.kinds.setdefault(here, set())
+        return step
+
+    def add(self, value: dict, path: str = "") -> None:
+        known = self.known
+        for key, v in value.items():
+            below, kinds = known.get((path, key)) or self._step(path, key)
+            plain = _PLAIN.get(type(v))
+            if plain:
+                kinds.add(plain)
+                continue
+            v = _as_object(v)
+            if isinstance(v, list):
+                kinds.add("list")
+                for entry in v:
+                    entry = _as_object(entry)
+                    kinds.add(_kind(entry))
+                    if isinstance(entry, dict):
+                        self.add(entry, below)
+            else:
+                kinds.add(_kind(v))
+                if isinstance(v, dict):
+                    self.add(v, below)
+
+    def pairs(self) -> set[tuple[str, str]]:
+        return {(path, kind) for path, kinds in self.kinds.items() for kind in kinds}
 
 
 def infer_graph(docs: DataFrame, body: str, marks: Sequence[str], own_tables: Sequence[str] = ()) -> Graph:
@@ -199,17 +231,20 @@ def infer_graph(docs: DataFrame, body: str, marks: Sequence[str], own_tables: Se
     roots = frozenset(marks)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, str]] = set()
+        edges = Edges()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 found = unwrap(parse(text), roots)
                 if found is not None:
-                    _edges(found, "", seen)
-            if len(seen) > MAX_PATHS * 4:
+                    edges.add(found)
+            if len(edges.kinds) > MAX_PATHS:
                 raise ValueError("the bodies' keys look like data, not like a schema")
+        seen = edges.pairs()
         yield pa.RecordBatch.from_pydict({"path": [p for p, _ in seen], "kind": [k for _, k in seen]}, schema=pa.schema([("path", pa.string()), ("kind", pa.string())]))
 
-    pairs = docs.select(body).mapInArrow(walk, "path string, kind string").distinct().limit(MAX_PATHS * 6).collect()
+    pairs = docs.select(body).mapInArrow(walk, "path string, kind string").distinct().limit(MAX_PATHS * len(KINDS) + 1).collect()
+    if len(pairs) > MAX_PATHS * len(KINDS):
+        raise ValueError("the bodies' keys look like data, not like a schema")
     return graph_of({(r.path, r.kind) for r in pairs}, own_tables)
 
 
@@ -255,13 +290,20 @@ def _text(value) -> str | None:
         return None
     if isinstance(value, bool):
         return "true" if value else "false"
-    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    if isinstance(value, str):
+        return value
+    if isinstance(value, int) or isinstance(value, float) and math.isfinite(value):
+        return repr(value)
+    return json.dumps(value, ensure_ascii=False)
 
 
 def _inline(value: dict, path: str, prefix: str, graph: Graph, out: dict[str, str | None]) -> None:
     for key, v in value.items():
         name = plain_name(key)
         here = graph.step(path, name)
+        if type(v) in _PLAIN and here not in graph.places:
+            out[f"{prefix}{name}"] = _text(v)
+            continue
         v = _as_object(v)
         if here in graph.places and (isinstance(v, (dict, list)) or v is None or not graph.inlines_scalar(here)):
             continue
@@ -280,6 +322,8 @@ def entries(value: dict, graph: Graph, node: str = "", place: str = "", path: st
     """
     path = node if path is None else path
     for key, v in value.items():
+        if type(v) in _PLAIN or type(v) is str and v.lstrip()[:1] not in ("[", "{"):
+            continue  # no entries below
         name = plain_name(key)
         inner = f"{path}.{name}" if path else name
         here = graph.folds.get(inner, inner)
