@@ -16,7 +16,7 @@ from framelake.operators.analysis import track
 from framelake.operators.diff import diff_frames, summary
 from framelake.operators.predicates import OPERATORS, search
 from framelake.schema import SchemaRegistry
-from framelake.sinks.exports import error, ok
+from framelake.sinks.exports import Single, error, ok
 from framelake.sources.replay import ReplayError, ReplayFile, _files, metadata, read_replays
 
 
@@ -197,7 +197,8 @@ class Session:
         r = self._entity(bucket, *who)
         known = r["type_name"] is not None
         properties = {n: r.get(n) for n in self.registry.properties(r["type_name"])} if known else self._raw(r)
-        return {"unique_id": r["unique_id"], "type_name": r["type_name"], "properties": properties}
+        singles = {f.name for f in self.registry.by_name[r["type_name"]].fields if f.type == "Float" and f.container == "None"} if known else set()
+        return {"unique_id": r["unique_id"], "type_name": r["type_name"], "properties": {n: Single(v) if n in singles and v is not None else v for n, v in properties.items()}}
 
     def do_property(self, bucket: str, *rest: str):
         if len(rest) < 2:
@@ -208,7 +209,7 @@ class Session:
         if f is None:
             near = closest(name, self.registry.properties(r["type_name"] or ""))
             raise Refusal(f"no property {name}", f"did you mean {near}?" if near else None)
-        return {"unique_id": r["unique_id"], "property": name, "type": f.type, "container": f.container, "value": r.get(name)}
+        return {"unique_id": r["unique_id"], "property": name, "type": f.type, "container": f.container, "value": Single(r[name]) if (f.type, f.container) == ("Float", "None") and r.get(name) is not None else r.get(name)}
 
     def do_types(self):
         self._need()

@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from framelake.functions.text import fixed, numbers
+
 
 def offset_label(offset: Column) -> Column:
     return F.concat(F.lit("0x"), F.hex(offset.cast("bigint")))
 
 
 def location_label(v: Column) -> Column:
-    return F.format_string("(%.0f, %.0f, %.0f)", v["x"], v["y"], v["z"])
+    return numbers("(", [v[c] for c in "xyz"], 0, ", ", ")")
 
 
 def game_time_label(seconds: Column) -> Column:
-    return F.concat(F.format_string("%.2f", seconds.cast("double")), F.lit("s"))
+    return F.concat(fixed(seconds, 2), F.lit("s"))
 
 
 def vector_label(v: Column, digits: int = 3) -> Column:
-    return F.format_string("(" + ", ".join([f"%.{digits}f"] * 3) + ")", v["x"], v["y"], v["z"])
+    return numbers("(", [v[c] for c in "xyz"], digits, ", ", ")")
 
 
 def quat_label(q: Column, digits: int = 4) -> Column:
-    return F.format_string("(" + ", ".join([f"%.{digits}f"] * 4) + ")", *[q[c].cast("double") for c in "xyzw"])
+    return numbers("(", [q[c] for c in "xyzw"], digits, ", ", ")")
 
 
 def transform_label(t: Column) -> Column:
@@ -31,7 +33,7 @@ def transform_label(t: Column) -> Column:
 
 
 def range_label(r: Column) -> Column:
-    return F.format_string("[%.3f - %.3f] %.3f", *[r[c].cast("double") for c in ("min", "max", "value_normalized")])
+    return F.concat(numbers("[", [r["min"], r["max"]], 3, " - ", "] "), fixed(r["value_normalized"], 3))
 
 
 def clock_parts(frame: Column, fps: Column) -> dict[str, Column]:

@@ -41,11 +41,41 @@ def range_text(start: Column, end: Column) -> Column:
     return F.concat(F.lit("["), start.cast("string"), F.lit("-"), end.cast("string"), F.lit("]"))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded from its exact value, ties to even (as printf does, and the JVM's formats don't).
+
+    The product with 10^digits is taken with its rounding error, so values that only look like ties are told apart.
+    Exact below 2^53 after scaling; beyond that doubles have no decimals.
+    """
+    x = x.cast("double")
+    a, s = F.abs(x), 10.0**digits
+    half = 134_217_729.0  # splits a double into two of 26 bits
+    p = a * s
+    a1 = half * a - (half * a - a)
+    a2 = a - a1
+    s1 = half * s - (half * s - s)
+    s2 = s - s1
+    lost = ((a1 * s1 - p) + a1 * s2 + a2 * s1) + a2 * s2
+    down = F.floor(p).cast("double")
+    over = (p - down - 0.5) + lost
+    n = (down + F.when((over > 0) | (over == 0) & (down % 2 == 1), 1.0).otherwise(0.0)).cast("decimal(38,0)")
+    base = F.lit(10**digits).cast("decimal(38,0)")
+    plain = n.cast("string") if not digits else F.concat(F.floor(n / base).cast("string"), F.lit("."), F.lpad((n % base).cast("bigint").cast("string"), digits, "0"))
+    sign = F.when(x < 0, "-").otherwise("")
+    return F.when(F.isnan(x), "nan").when(a == float("inf"), F.concat(sign, F.lit("inf"))).when(x.isNotNull(), F.concat(sign, plain))
+
+
+def numbers(open_: str, parts: list[Column], digits: int, by: str, close: str) -> Column:
+    """Several ``fixed`` numbers between brackets; null where one is."""
+    cells = [c for p in parts for c in (F.lit(by), fixed(p, digits))][1:]
+    return F.concat(F.lit(open_), *cells, F.lit(close))
+
+
 def size_label(n_bytes: Column) -> Column:
     """MB or KB with two decimals, or bytes."""
     return (
-        F.when(n_bytes >= 1 << 20, F.concat(F.format_string("%.2f", n_bytes / float(1 << 20)), F.lit(" MB")))
-        .when(n_bytes >= 1 << 10, F.concat(F.format_string("%.2f", n_bytes / 1024.0), F.lit(" KB")))
+        F.when(n_bytes >= 1 << 20, F.concat(fixed(n_bytes / float(1 << 20), 2), F.lit(" MB")))
+        .when(n_bytes >= 1 << 10, F.concat(fixed(n_bytes / 1024.0, 2), F.lit(" KB")))
         .otherwise(F.concat(n_bytes.cast("string"), F.lit(" B")))
     )
 
@@ -71,14 +101,14 @@ def value_text(column: Column, kind: T.DataType) -> Column:
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         text = _general(column)
     elif isinstance(kind, T.StructType) and [f.name for f in kind.fields] == ["x", "y", "z"]:
-        text = F.format_string("(%.2f,%.2f,%.2f)", column["x"], column["y"], column["z"])
+        text = numbers("(", [column[c] for c in "xyz"], 2, ",", ")")
     elif isinstance(kind, T.StructType) and [f.name for f in kind.fields] == ["x", "y", "z", "w"]:
-        text = F.format_string("(%.4f,%.4f,%.4f,%.4f)", column["x"], column["y"], column["z"], column["w"])
+        text = numbers("(", [column[c] for c in "xyzw"], 4, ",", ")")
     elif isinstance(kind, T.StructType) and [f.name for f in kind.fields][:2] == ["min", "max"]:
         text = F.concat(F.lit("["), _general(column["min"]), F.lit("-"), _general(column["max"]), F.lit("]"))
     elif isinstance(kind, T.StructType) and [f.name for f in kind.fields][:1] == ["translation"]:
         t = column["translation"]
-        text = F.format_string("T(%.2f,%.2f,%.2f)", t["x"], t["y"], t["z"])
+        text = numbers("T(", [t[c] for c in "xyz"], 2, ",", ")")
     else:
         return F.lit("")
     return F.coalesce(F.when(column.isNotNull(), text), F.lit(""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from framelake.functions.text import fixed
+
 TICKS_PER_SECOND = 10_000_000
 #: Fixed value: ticks from the year 1 to 1970.
 UNIX_EPOCH_TICKS = 621_355_968_000_000_000
@@ -72,7 +74,7 @@ def format_utc(ticks: Column) -> Column:
 
 
 def ticks_text(ticks: Column) -> Column:
-    return F.concat(F.format_string("%.6f", ticks / float(TICKS_PER_SECOND)), F.lit("s"))
+    return F.concat(fixed(ticks / float(TICKS_PER_SECOND), 6), F.lit("s"))
 
 
 def duration_label(seconds: Column) -> Column:
@@ -80,4 +82,4 @@ def duration_label(seconds: Column) -> Column:
     s = F.greatest(seconds.cast("double"), F.lit(0.0))
     ms = F.floor(s * 1000 + 0.5).cast("bigint")
     part = lambda x: F.floor(x).cast("bigint").cast("string")
-    return F.concat(part(ms / 3_600_000), F.lit("h "), part(ms % 3_600_000 / 60_000), F.lit("m "), part(ms % 60_000 / 1000), F.lit("s "), (ms % 1000).cast("string"), F.lit("ms ("), F.format_string("%.1f", s), F.lit(" sec)"))
+    return F.concat(part(ms / 3_600_000), F.lit("h "), part(ms % 3_600_000 / 60_000), F.lit("m "), part(ms % 60_000 / 1000), F.lit("s "), (ms % 1000).cast("string"), F.lit("ms ("), fixed(s, 1), F.lit(" sec)"))

@@ -689,13 +689,6 @@ def bone_pack_roundtrip(spark, d):
 _PLAYER_SCHEMA = '{"version": "1.0.0", "buckets": ["entity"], "property_mapping": [{"struct": "Player", "values": [{"name": "name", "typeId": "String"}, {"name": "team", "typeId": "Int32"}, {"name": "score", "typeId": "Int32"}, {"name": "deaths", "typeId": "Int32"}, {"name": "health", "typeId": "Float"}, {"name": "position", "typeId": "Vector"}]}]}'
 
 
-@query("content_hash_tokens")
-def content_hash_tokens(spark, d):
-    from framelake.sources.replay import content_hashes
-
-    return content_hashes(players(spark, d), _PLAYER_SCHEMA)
-
-
 def _bodies(spark: SparkSession, d: str) -> DataFrame:
     """The last delivered whole body of each studio's version."""
     from framelake.operators.drift import version_parts
@@ -705,52 +698,6 @@ def _bodies(spark: SparkSession, d: str) -> DataFrame:
     return files.groupBy("studio_id", "version").agg(F.max_by("body", F.struct("delivered_at", "file_id")).alias("body"))
 
 
-@query("schema_validation")
-def schema_validation(spark, d):
-    """Issues of every schema file, torn ones included."""
-    import pyarrow as pa
-
-    from framelake.schema import validate
-
-    def walk(batches):
-        for batch in batches:
-            rows = [{"file_id": f, "severity": i.severity, "kind": i.kind, "struct": i.struct, "field": i.field} for f, b in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True) for i in validate(b or "")]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([(c, pa.string()) for c in ("file_id", "severity", "kind", "struct", "field")]))
-
-    return table(spark, d, "schema_files").select("file_id", "body").mapInArrow(walk, "file_id string, severity string, kind string, struct string, field string")
-
-
-@query("schema_evolution")
-def schema_evolution(spark, d):
-    """What each version of a studio adds, changes or breaks against the one before; a studio's few versions are compared by one task."""
-    import pandas as pd
-
-    from framelake.schema import SchemaRegistry, evolution
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = sorted((tuple(v), b) for v, b in zip(frame["version"], frame["body"], strict=True))
-        made = [(v, SchemaRegistry.from_json(b)) for v, b in ordered]
-        rows = [(frame["studio_id"].iloc[0], ".".join(map(str, v)), i.severity, i.kind, i.struct, i.field) for (_, a), (v, b) in zip(made, made[1:], strict=False) for i in evolution(a, b)]
-        return pd.DataFrame(rows, columns=["studio_id", "version", "severity", "kind", "struct", "field"])
-
-    return _bodies(spark, d).groupBy("studio_id").applyInPandas(walk, "studio_id string, version string, severity string, kind string, struct string, field string")
-
-
-@query("export_lifetimes")
-def export_lifetimes(spark, d):
-    from framelake.sinks.exports import lifetime_table, with_times
-
-    lives = analysis.lifetimes(presence(spark, d))
-    return lifetime_table(with_times(lives, clock(spark, d)), {t: name for t, (name, _, _) in TYPES.items()})
-
-
-@query("export_spans")
-def export_spans(spark, d):
-    from framelake.sinks.exports import span_table, with_times
-
-    return span_table(with_times(analysis.value_spans(deliveries(spark, d, 0), ["team", "is_alive"], F.col("arrived_at")), clock(spark, d)))
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

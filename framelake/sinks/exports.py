@@ -8,11 +8,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.functions.text import range_text
+from framelake.functions.text import fixed, range_text
 
 
 def _seconds(ticks: Column) -> Column:
-    return F.concat(F.format_string("%.2f", ticks / 1e7), F.lit("s"))
+    return F.concat(fixed(ticks / 1e7, 2), F.lit("s"))
 
 
 def with_times(spans: DataFrame, clock: DataFrame) -> DataFrame:
@@ -59,11 +59,15 @@ def number_text(x: float, single: bool = False) -> str:
     return format(x, ".6g" if single else ".10g")
 
 
+class Single(float):
+    """A number of single precision, which answers give with six digits."""
+
+
 def _plain(value):
     if isinstance(value, bool) or value is None or isinstance(value, (int, str)):
         return value
     if isinstance(value, float):
-        return None if not math.isfinite(value) else float(number_text(value))
+        return None if not math.isfinite(value) else float(number_text(value, isinstance(value, Single)))
     if isinstance(value, dict):
         return {str(k): _plain(v) for k, v in value.items()}
     if hasattr(value, "asDict"):

@@ -443,6 +443,15 @@ def test_texts(spark):
     assert (number_text(math.nan), number_text(0.1), number_text(1 / 3, True)) == ("null", "0.1", "0.333333")
 
 
+def test_fixed_numbers_are_printfs(spark):
+    rng = random.Random(6)
+    xs = [0.5, 1.5, 2.5, 6.85, 1.125, 0.125, 1e-9, 0.045, 1.005, 2.675, -2.5, -0.001, 1e9 + 0.5, 123456.789, 0.0] + [rng.uniform(-1e6, 1e6) for _ in range(300)] + [rng.randint(-9999, 9999) / 1000 for _ in range(300)] + [rng.randint(-9999, 9999) / 64 for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,), (math.nan,), (math.inf,), (-math.inf,)], "x double")
+    for digits in (0, 1, 2, 3, 6):
+        got = [r.t for r in df.select(text.fixed(F.col("x"), digits).alias("t")).collect()]
+        assert got == [f"{x:.{digits}f}" for x in xs] + [None, "nan", "inf", "-inf"]
+
+
 def test_ragged_arrays(spark):
     df = spark.createDataFrame([([[1, 2], [3]],)], "a array<array<int>>")
     ask = lambda c: df.select(c).first()[0]
