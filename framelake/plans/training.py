@@ -42,6 +42,14 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_orphans(spark, d).withColumn("month", month_of_ticks("moment")), ["table_name", "month"])
 
 
+def p1_composite(spark: SparkSession, d: str) -> DataFrame:
+    """(id, name, team) under which players appear and which no row of the roster has, on those of the three that are given."""
+    own = [clean_id("unique_id").alias("unique_id"), F.nullif(F.trim("name"), F.lit("")).alias("name"), "team"]
+    refs = table(spark, d, "player_states").select(own).distinct()
+    keys = ["unique_id", "name", "team"]
+    return find_orphans(refs, table(spark, d, "roster").select(own), keys, match="partial").select(*keys, "reason")
+
+
 _P1 = """
 WITH refs AS (
   SELECT 'player_states' AS table_name, replay_id, lower(trim(unique_id)) AS record_id, lower(trim(unique_id)) AS ref_id, min(utc_ticks) AS moment
@@ -57,6 +65,11 @@ found AS (
   FROM judged WHERE NOT ok)
 """
 P1_SQL = {
+    "p1_composite": """
+WITH r AS (SELECT DISTINCT nullif(lower(trim(unique_id)), '') AS unique_id, nullif(trim(name), '') AS name, team FROM player_states), g AS (SELECT nullif(lower(trim(unique_id)), '') AS u, nullif(trim(name), '') AS n, team AS t FROM roster)
+SELECT unique_id, name, team, 'missing' AS reason FROM r WHERE coalesce(unique_id, name, team::VARCHAR) IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM g WHERE (unique_id IS NULL OR u = unique_id) AND (name IS NULL OR n = name) AND (team IS NULL OR t = team))
+""",
     "p1_found": _P1 + "SELECT table_name, replay_id, record_id, ref_id, reason FROM found",
     "p1_report": _P1 + "SELECT table_name, strftime(make_timestamp(moment // 10), '%Y-%m') AS month, reason, count(*) AS n_orphans FROM found GROUP BY ALL",
 }
@@ -135,20 +148,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_runs(spark, d).where(F.col("n_frames") >= 2).select("replay_id", "sequence_id", "first_frame", "last_frame")
 
 
-P4_SQL = {
-    "p4_found": """
+_P4 = """
 WITH a AS (
-  SELECT replay_id, lower(trim(unique_id)) AS sequence_id, frame_index AS f, any_value(is_alive) AS s, any_value(health::double) AS h
+  SELECT replay_id, lower(trim(unique_id)) AS sequence_id, frame_index AS f, any_value(is_alive) AS s, any_value(health::double) AS h, any_value(NULL::VARCHAR) AS p, any_value(utc_ticks) AS t
   FROM player_states WHERE health IS NOT NULL GROUP BY ALL
   UNION ALL
-  SELECT replay_id, 'match_state', frame_index, any_value(NULL::boolean), any_value(hash(regexp_replace(lower(phase), '[\\s_\\-]+', '', 'g'))::double)
+  SELECT replay_id, 'match_state', frame_index, any_value(NULL::boolean), any_value(NULL::double), any_value(regexp_replace(lower(phase), '[\\s_\\-]+', '', 'g')), any_value(utc_ticks)
   FROM match_states WHERE phase IS NOT NULL GROUP BY ALL),
 b AS (
-  SELECT *, CASE WHEN lag(f) OVER w IS NULL OR lag(s) OVER w IS DISTINCT FROM s OR round(abs(lag(h) OVER w - h), 5) > 0.5 THEN 1 ELSE 0 END AS c
+  SELECT *, CASE WHEN lag(f) OVER w IS NULL OR lag(s) OVER w IS DISTINCT FROM s OR lag(p) OVER w IS DISTINCT FROM p OR round(abs(lag(h) OVER w - h), 5) > 0.5 THEN 1 ELSE 0 END AS c
   FROM a WINDOW w AS (PARTITION BY replay_id, sequence_id ORDER BY f)),
-c AS (SELECT *, sum(c) OVER (PARTITION BY replay_id, sequence_id ORDER BY f) AS r FROM b)
-SELECT replay_id, sequence_id, min(f) AS first_frame, max(f) AS last_frame FROM c GROUP BY replay_id, sequence_id, r HAVING count(*) >= 2
+c AS (SELECT *, sum(c) OVER (PARTITION BY replay_id, sequence_id ORDER BY f) AS r FROM b),
+d AS (SELECT replay_id, sequence_id, min(f) AS first_frame, max(f) AS last_frame, count(*) AS n_frames, (max(t) - min(t)) / 1e7 AS duration_s, arg_min((s, h, p), f) AS x FROM c GROUP BY replay_id, sequence_id, r)
 """
+P4_SQL = {
+    "p4_found": _P4 + "SELECT replay_id, sequence_id, first_frame, last_frame FROM d WHERE n_frames >= 2",
+    "p4_runs": _P4 + "SELECT replay_id, sequence_id, first_frame, last_frame, n_frames, duration_s, coalesce(x[3], CASE WHEN x[1] THEN 'alive ' ELSE 'dead ' END || round(x[2], 2)) AS state FROM d",
 }
 
 
@@ -193,7 +208,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
-        "p1_found": p1_found, "p1_report": p1_report,
+        "p1_found": p1_found, "p1_report": p1_report, "p1_composite": p1_composite,
         "p2_found": p2_found, "p2_table": p2_table, "p2_filled": p2_filled, "p2_alternatives": p2_alternatives,
         "p3_found": p3_found,
         "p4_found": p4_found, "p4_runs": p4_runs,
