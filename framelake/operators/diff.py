@@ -34,6 +34,62 @@ def differs(a: Column, b: Column, kind: T.DataType, epsilon: float = EPSILON) ->
     return ~a.eqNullSafe(b)
 
 
+_NAMES = {T.BooleanType: "Bool", T.IntegerType: "Int32", T.LongType: "Int64", T.FloatType: "Float", T.DoubleType: "Double", T.StringType: "String"}
+
+
+def container_of(kind: T.DataType) -> str:
+    """The kind of slot that holds a value of a type, such as ``Int32``, ``Vector``, ``StringArray`` or ``Map``."""
+    if isinstance(kind, T.MapType):
+        return "Map"
+    if isinstance(kind, T.ArrayType):
+        return container_of(kind.elementType) + "Array"
+    if isinstance(kind, T.StructType):
+        names = kind.names
+        return "Vector" if names == ["x", "y", "z"] else "Quat" if names == ["x", "y", "z", "w"] else "Transform" if names[:1] == ["translation"] else "Range" if names[:2] == ["min", "max"] else "Struct"
+    return _NAMES.get(type(kind), "String")
+
+
+_OPERATIONS = "array<struct<path:string,op:string,container:string,old_value:string,new_value:string>>"
+
+
+def nested_ops(a: Column, b: Column, kind: T.DataType, path: Column, epsilon: float = EPSILON) -> Column:
+    """Operations (path, op, container, old_value, new_value) that turn one value into another, down to the slots that differ.
+
+    A struct is taken apart field by field and a map key by key; an array of structs element by element where
+    both have as many, else it is one Replace; other arrays, vectors and scalars are one slot. What is null on
+    one side is one Add or Remove. Paths read ``field``, ``[index]`` and ``{key}``.
+    """
+    none = F.array().cast(_OPERATIONS)
+    text = lambda c: c.cast("string")
+    one = lambda op: F.array(F.struct(path.alias("path"), op.alias("op"), F.lit(container_of(kind)).alias("container"), text(a).alias("old_value"), text(b).alias("new_value"))).cast(_OPERATIONS)
+    edge = F.when(a.isNull() & b.isNull(), none).when(a.isNull(), one(F.lit("Add"))).when(b.isNull(), one(F.lit("Remove")))
+    if isinstance(kind, T.StructType) and container_of(kind) == "Struct":
+        return edge.otherwise(F.concat(none, *[nested_ops(a[f.name], b[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}")), epsilon) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType) and container_of(kind.elementType) == "Struct":
+        at = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+        slots = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
+        inner = F.flatten(F.transform(slots, lambda i: nested_ops(F.get(a, i), F.get(b, i), kind.elementType, at(i), epsilon)))
+        return edge.when(F.size(a) != F.size(b), one(F.lit("Replace"))).otherwise(inner)
+    if isinstance(kind, T.MapType):
+        keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
+        at = lambda k: F.concat(path, F.lit("{"), k.cast("string"), F.lit("}"))
+        return edge.otherwise(F.flatten(F.transform(keys, lambda k: nested_ops(F.try_element_at(a, k), F.try_element_at(b, k), kind.valueType, at(k), epsilon))))
+    return edge.otherwise(F.when(differs(a, b, kind, epsilon), one(F.lit("Replace"))).otherwise(none))
+
+
+def patch(a: DataFrame, b: DataFrame, properties: Sequence[str], keys: Sequence[str] = ("unique_id",), epsilon: float = EPSILON) -> DataFrame:
+    """``diff_frames`` with nested operations: (keys..., op, property, path, container, old_value, new_value)."""
+    keys = list(keys)
+    kinds = {f.name: f.dataType for f in a.schema.fields}
+    side = lambda df, n: df.where(F.col(keys[-1]) != "").select(*keys, F.struct(*properties).alias(n))
+    both = side(a, "a").join(side(b, "b"), keys, "full_outer")
+    whole = F.when(F.col("a").isNull(), "Add").when(F.col("b").isNull(), "Remove")
+    entity = F.array(F.struct(F.lit(None).cast("string").alias("property"), F.struct(F.lit(None).cast("string").alias("path"), whole.alias("op"), F.lit("Entity").alias("container"), F.lit(None).cast("string").alias("old_value"), F.lit(None).cast("string").alias("new_value")).alias("o")))
+    each = [F.transform(nested_ops(F.col("a")[p], F.col("b")[p], kinds[p], F.lit(p), epsilon), lambda o, p=p: F.struct(F.lit(p).alias("property"), o.alias("o"))) for p in properties]
+    ops = F.when(whole.isNotNull(), entity).otherwise(F.concat(*each))
+    return both.select(*keys, F.explode(ops).alias("x")).select(*keys, "x.o.op", "x.property", "x.o.path", "x.o.container", "x.o.old_value", "x.o.new_value")
+
+
 def _operation(old: Column, new: Column, changed: Column) -> Column:
     return F.when(changed, F.when(old.isNull(), "Add").when(new.isNull(), "Remove").otherwise("Replace"))
 

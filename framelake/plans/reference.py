@@ -374,14 +374,38 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("diff_nested_arrays", """
-WITH o AS (SELECT l_orderkey, list(struct_pack(p := l_partkey, q := l_quantity) ORDER BY l_linenumber, l_partkey, l_quantity) AS items FROM lineitem GROUP BY l_orderkey)
-SELECT a.l_orderkey, len(a.items) <> len(b.items) AS resized FROM o a JOIN o b ON b.l_orderkey = a.l_orderkey + 1 WHERE a.items <> b.items
+WITH o AS (SELECT l_orderkey, list(struct_pack(p := l_partkey, q := l_quantity) ORDER BY l_linenumber, l_partkey, l_quantity) AS items FROM lineitem GROUP BY l_orderkey),
+j AS (SELECT a.l_orderkey, a.items AS a, b.items AS b FROM o a JOIN o b ON b.l_orderkey = a.l_orderkey + 1),
+e AS (SELECT l_orderkey, unnest(range(len(a))) AS i, a, b FROM j WHERE len(a) = len(b)),
+x AS (SELECT l_orderkey, i, a[i + 1] AS m, b[i + 1] AS n FROM e)
+SELECT l_orderkey, 'items' AS path, 'Replace' AS op, 'StructArray' AS container FROM j WHERE len(a) <> len(b)
+UNION ALL SELECT l_orderkey, 'items[' || i || '].p', 'Replace', 'Int64' FROM x WHERE m.p <> n.p
+UNION ALL SELECT l_orderkey, 'items[' || i || '].q', 'Replace', 'Double' FROM x WHERE abs(m.q - n.q) > 1e-5
 """)
 def diff_nested_arrays(spark, d):
+    """The operations between the items of each order and those of the next one."""
     rows = _items(spark, d)
     kind = rows.schema["items"].dataType
     both = rows.join(rows.select((F.col("l_orderkey") - 1).alias("l_orderkey"), F.col("items").alias("after")), "l_orderkey")
-    return both.where(diff.differs(F.col("items"), F.col("after"), kind)).select("l_orderkey", (F.size("items") != F.size("after")).alias("resized"))
+    return both.select("l_orderkey", F.explode(diff.nested_ops(F.col("items"), F.col("after"), kind, F.lit("items"))).alias("x")).select("l_orderkey", "x.path", "x.op", "x.container")
+
+
+@query("diff_containers", f"""
+WITH {_P}, a AS (SELECT * FROM p WHERE frame_index = 10), b AS (SELECT * FROM p WHERE frame_index = 60),
+j AS (SELECT a.unique_id AS ua, b.unique_id AS ub, a.team AS t0, b.team AS t1, a.health::DOUBLE AS h0, b.health::DOUBLE AS h1, a.is_alive AS l0, b.is_alive AS l1, a.position AS p0, b.position AS p1 FROM a FULL JOIN b ON a.replay_id = b.replay_id AND a.unique_id = b.unique_id),
+s AS (
+  SELECT 'Entity' AS container, CASE WHEN ua IS NULL THEN 'Add' ELSE 'Remove' END AS op FROM j WHERE ua IS NULL OR ub IS NULL
+  UNION ALL SELECT 'Int32', CASE WHEN t0 IS NULL THEN 'Add' WHEN t1 IS NULL THEN 'Remove' ELSE 'Replace' END FROM j WHERE ua IS NOT NULL AND ub IS NOT NULL AND t0 IS DISTINCT FROM t1
+  UNION ALL SELECT 'Float', CASE WHEN h0 IS NULL THEN 'Add' WHEN h1 IS NULL THEN 'Remove' ELSE 'Replace' END FROM j WHERE ua IS NOT NULL AND ub IS NOT NULL AND ((h0 IS NULL) <> (h1 IS NULL) OR abs(h0 - h1) > 1e-5)
+  UNION ALL SELECT 'Bool', CASE WHEN l0 IS NULL THEN 'Add' WHEN l1 IS NULL THEN 'Remove' ELSE 'Replace' END FROM j WHERE ua IS NOT NULL AND ub IS NOT NULL AND l0 IS DISTINCT FROM l1
+  UNION ALL SELECT 'Vector', CASE WHEN p0 IS NULL THEN 'Add' WHEN p1 IS NULL THEN 'Remove' ELSE 'Replace' END FROM j WHERE ua IS NOT NULL AND ub IS NOT NULL AND ((p0 IS NULL) <> (p1 IS NULL) OR abs(p0.x - p1.x) > 1e-5 OR abs(p0.y - p1.y) > 1e-5 OR abs(p0.z - p1.z) > 1e-5))
+SELECT container, op, count(*) AS n_ops FROM s GROUP BY ALL
+""")
+def diff_containers(spark, d):
+    """Operations between two frames, counted by the kind of slot."""
+    rows = players(spark, d)
+    made = diff.patch(frame_at(rows, 10), frame_at(rows, 60), ["team", "health", "is_alive", "position"], ["replay_id", "unique_id"])
+    return made.groupBy("container", "op").agg(F.count("*").alias("n_ops"))
 
 
 @query("diff_map", """

@@ -338,6 +338,17 @@ def test_array_and_map_ops(spark):
     assert [(o.op, o.key) for o in df.select(diff.map_ops(F.col("x"), F.col("y"))).first()[0]] == [("Remove", "a"), ("Replace", "b"), ("Add", "c")]
 
 
+def test_nested_operations(spark):
+    shape = "unique_id string, s struct<a:int,v:struct<x:double,y:double,z:double>,t:struct<b:string>>, l array<struct<c:int>>, n array<int>, m map<string,struct<c:int>>"
+    one = spark.createDataFrame([("u", (1, (0.0, 0.0, 0.0), ("x",)), [(1,), (2,)], [1, 2], {"k": (1,), "g": (2,)}), ("gone", None, None, None, None), ("w", None, [(1,)], None, None)], shape)
+    two = spark.createDataFrame([("u", (1, (0.0, 1.0, 0.0), ("y",)), [(1,), (3,)], [1, 2, 3], {"k": (5,), "h": (2,)}), ("new", None, None, None, None), ("w", (7, None, None), [(1,), (2,)], [], None)], shape)
+    got = {(r.unique_id, r.op, r.path, r.container) for r in diff.patch(one, two, ["s", "l", "n", "m"]).collect()}
+    assert got == {
+        ("u", "Replace", "s.v", "Vector"), ("u", "Replace", "s.t.b", "String"), ("u", "Replace", "l[1].c", "Int32"), ("u", "Replace", "n", "Int32Array"), ("u", "Replace", "m{k}.c", "Int32"), ("u", "Remove", "m{g}", "Struct"),
+        ("u", "Add", "m{h}", "Struct"), ("gone", "Remove", None, "Entity"), ("new", "Add", None, "Entity"), ("w", "Add", "s", "Struct"), ("w", "Replace", "l", "StructArray"), ("w", "Add", "n", "Int32Array"),
+    }
+
+
 def test_mutation(spark):
     df = spark.createDataFrame([("r", 0, "a", 1, 150.0, True), ("r", 0, "b", 2, -5.0, True), ("r", 0, "c", 2, None, None)], "replay_id string, frame_index int, unique_id string, team int, health double, is_alive boolean")
     out = {r.unique_id: r for r in mutate.Chain(mutate.Clamp("health", count=True), mutate.Alive()).process(df).collect()}
