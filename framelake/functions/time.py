@@ -83,3 +83,12 @@ def duration_label(seconds: Column) -> Column:
     ms = F.floor(s * 1000 + 0.5).cast("bigint")
     part = lambda x: F.floor(x).cast("bigint").cast("string")
     return F.concat(part(ms / 3_600_000), F.lit("h "), part(ms % 3_600_000 / 60_000), F.lit("m "), part(ms % 60_000 / 1000), F.lit("s "), (ms % 1000).cast("string"), F.lit("ms ("), fixed(s, 1), F.lit(" sec)"))
+
+
+def display(ticks: Column, mode: str = "formatted") -> Column:
+    """A time as it is shown: ``raw`` ticks, ``formatted`` (UTC where the ticks count from the year 1, else a duration), or ``both``."""
+    if mode not in ("raw", "formatted", "both"):
+        raise ValueError("mode must be raw, formatted or both")
+    raw = ticks.cast("string")
+    shown = F.when(ticks >= UNIX_EPOCH_TICKS, format_utc(ticks)).otherwise(format_duration(ticks))
+    return raw if mode == "raw" else shown if mode == "formatted" else F.concat(shown, F.lit(" ("), raw, F.lit(")"))

@@ -81,3 +81,16 @@ def track(rows: DataFrame, unique_id: str | None, prop: str, start: int, end: in
     if unique_id is not None:
         rows = rows.where(F.col("unique_id") == unique_id)
     return frame_stride(rows, start, end, step).select("replay_id", "frame_index", "unique_id", F.col(prop).alias("value"))
+
+
+def scan_report(rows: DataFrame, bucket: int, unique_ids: Sequence[str] = ()) -> DataFrame:
+    """One row on what a scan of a bucket would see: n_frames, n_with_bucket, n_matched, and a message where that is nothing.
+
+    rows: frame rows with bucket_index. An empty list of ids matches all.
+    """
+    here = F.col("bucket_index") == bucket
+    named = here & F.col("unique_id").isin(list(unique_ids)) if unique_ids else here
+    frame = F.struct("replay_id", "frame_index")
+    counts = rows.agg(F.count_distinct(frame).alias("n_frames"), F.count_distinct(F.when(here, frame)).alias("n_with_bucket"), F.count_if(named).alias("n_matched"))
+    message = F.when(F.col("n_frames") == 0, "no frames").when(F.col("n_with_bucket") == 0, "the bucket is not present").when(F.col("n_matched") == 0, "no entities matched").otherwise("")
+    return counts.withColumn("message", message)

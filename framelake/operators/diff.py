@@ -134,6 +134,17 @@ def summary(patch: DataFrame, keys: Sequence[str] = ("unique_id",)) -> DataFrame
     return patch.groupBy(*keys).agg(F.sort_array(F.collect_set("property")).alias("properties"), F.count("*").alias("n_ops"))
 
 
+def preview(patch: DataFrame, order: Sequence[str], most: int = 50) -> DataFrame:
+    """The first operations, as a patch is printed."""
+    return patch.orderBy(*order).limit(most)
+
+
+def with_type_names(summaries: DataFrame, frame: DataFrame, keys: Sequence[str] = ("unique_id",)) -> DataFrame:
+    """Summaries with the type name that an entity has in the later frame; removed entities have none."""
+    names = frame.groupBy(*keys).agg(F.max("type_name").alias("type_name"))
+    return summaries.join(names, list(keys), "left")
+
+
 def histogram(patch: DataFrame) -> DataFrame:
     return patch.groupBy("op", "property").agg(F.count("*").alias("n_ops"))
 

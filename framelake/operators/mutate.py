@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
 
@@ -70,7 +71,7 @@ class Function(Processor):
 
 
 class Clamp(Processor):
-    """Brings numbers into [low, high] and counts the rows that it changed in ``n_clamped_<column>``, if asked."""
+    """Brings numbers into [low, high] and marks the rows that it changed in ``clamped_<column>``, if asked."""
 
     def __init__(self, column: str, low: float = 0.0, high: float = 100.0, count: bool = False):
         self.column, self.low, self.high, self.count = column, low, high, count
@@ -104,6 +105,40 @@ def set_value(rows: DataFrame, column: str, value: Column, where: Column | None
     return rows.withColumn(column, value if where is None else F.when(where, value).otherwise(F.col(column)))
 
 
+def set_nested(rows: DataFrame, path: str, value: Callable[[Column], Column], where: Column | None = None) -> DataFrame:
+    """Sets a value inside a structured property: ``a.b`` is a field, ``a[].b`` a field of every element of an array.
+
+    value is given the old value. Null structs and arrays stay null, an unknown path leaves the rows alone, array sizes stay.
+    """
+    steps = path.replace("[]", ".[]").split(".")
+    kind = {f.name: f.dataType for f in rows.schema.fields}.get(steps[0])
+    for step in steps[1:]:
+        kind = kind.elementType if step == "[]" and isinstance(kind, T.ArrayType) else kind[step].dataType if isinstance(kind, T.StructType) and step in kind.names else None
+        if kind is None:
+            return rows
+    if kind is None:
+        return rows
+
+    def edited(old: Column, rest: list[str]) -> Column:
+        if not rest:
+            return value(old).cast(kind)
+        if rest[0] == "[]":
+            return F.when(old.isNotNull(), F.transform(old, lambda x: edited(x, rest[1:])))
+        return F.when(old.isNotNull(), old.withField(rest[0], edited(old[rest[0]], rest[1:])))
+
+    new = edited(F.col(steps[0]), steps[1:])
+    return rows.withColumn(steps[0], new if where is None else F.when(where, new).otherwise(F.col(steps[0])))
+
+
+def with_context(rows: DataFrame, max_frames: int = 1000) -> DataFrame:
+    """What a processor is told of a frame: ``frame_number`` (0-based, counting frames), ``chunk_index`` and ``chunk_frame`` inside the chunk."""
+    from framelake.operators.timeline import chunk_of, numbered
+
+    frames = numbered(rows.select("replay_id", "frame_index").distinct())
+    frames = frames.select("replay_id", "frame_index", (F.col("marker") - 1).alias("frame_number"), chunk_of(F.col("marker"), max_frames).alias("chunk_index"), F.pmod(F.col("marker") - 1, F.lit(max_frames)).alias("chunk_frame"))
+    return rows.join(frames, ["replay_id", "frame_index"])
+
+
 def add_entities(rows: DataFrame, extra: DataFrame) -> DataFrame:
     """Appends entities; properties they lack are null."""
     return rows.unionByName(extra, allowMissingColumns=True)

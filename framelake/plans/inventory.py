@@ -236,6 +236,16 @@ def visible_frames(spark, d):
     return rows.select("replay_id", first.cast("int").alias("first_frame"), end.cast("int").alias("end_frame"))
 
 
+@query("time_display", f"""
+WITH {_C}, t AS (SELECT replay_id, frame_index, utc_ticks + 621355968000000000 AS e, utc_ticks, game_ticks AS g, (game_ticks + 5000) // 10000 AS ms FROM k)
+SELECT replay_id, frame_index, e::VARCHAR AS raw, strftime(make_timestamp(utc_ticks // 10), '%d %b %Y %H:%M:%S') || '.' || lpad((utc_ticks % 10000000 // 10000)::VARCHAR, 3, '0') || ' UTC' AS shown,
+  CASE WHEN ms >= 60000 THEN concat(ms // 60000, 'm ') ELSE '' END || concat(ms % 60000 // 1000, 's ', ms % 1000, 'ms (', g, ')') AS game FROM t
+""")
+def time_display(spark, d):
+    epoch = F.col("utc_ticks") + ticks.UNIX_EPOCH_TICKS
+    return clock(spark, d).select("replay_id", "frame_index", ticks.display(epoch, "raw").alias("raw"), ticks.display(epoch).alias("shown"), ticks.display(F.col("game_ticks"), "both").alias("game"))
+
+
 _KNOWN = ("rocket", "grenade", "bullet", "plasma", "arrow")
 
 
@@ -267,6 +277,22 @@ def only_ids_query(spark, d):
     return only_ids(rows, " , ".join(names) + ",").select("replay_id", "frame_index", "unique_id")
 
 
+@query("scan_reports", f"""
+WITH {_E}, n AS (SELECT count(DISTINCT (replay_id, frame_index)) AS n, count(*) AS m FROM e)
+SELECT 'all' AS scan, n AS n_frames, n AS n_with_bucket, m AS n_matched, '' AS message FROM n
+UNION ALL SELECT 'other bucket', n, 0, 0, 'the bucket is not present' FROM n
+UNION ALL SELECT 'unknown id', n, n, 0, 'no entities matched' FROM n
+""")
+def scan_reports(spark, d):
+    """What scans of all entities, of a bucket that is not there and of an unknown id report."""
+    from framelake.frames import frames
+
+    rows = frames(spark, d).select("replay_id", "frame_index", "unique_id", "bucket_index")
+    asked = [("all", 0, []), ("other bucket", 5, []), ("unknown id", 0, ["no such id"])]
+    parts = [analysis.scan_report(rows, b, ids).select(F.lit(n).alias("scan"), "*") for n, b, ids in asked]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("clamped_ranges", f"""
 WITH {_C}, t AS (SELECT DISTINCT replay_id, total_frames AS n FROM replays), a AS (SELECT k.replay_id, frame_index, greatest(0, least(frame_index - 20, n - 1)) AS low, n FROM k JOIN t USING (replay_id))
 SELECT replay_id, frame_index, low, greatest(low, least(frame_index + 30, n - 1)) AS high FROM a

@@ -315,13 +315,34 @@ def diff_frames(spark, d):
     return _patch(spark, d).select("replay_id", "unique_id", "op", "property")
 
 
-@query("patch_validate", f"WITH {_DIFF} SELECT x.op AS op, true AS valid, count(*) AS n_ops FROM j GROUP BY ALL")
+@query("patch_validate", f"""
+WITH {_DIFF}, v AS (SELECT x.op AS op, true AS valid FROM j UNION ALL SELECT x.op, x.property IS NOT NULL FROM j)
+SELECT op, valid, count(*) AS n_ops FROM v GROUP BY ALL
+""")
 def patch_validate(spark, d):
+    """A patch against its own frames, and against them the wrong way round, where whole entities come and go the other way."""
     rows = players(spark, d)
-    checked = diff.validate(_patch(spark, d), frame_at(rows, 10), frame_at(rows, 60), ["replay_id", "unique_id"])
+    made, a, b, keys = _patch(spark, d), frame_at(rows, 10), frame_at(rows, 60), ["replay_id", "unique_id"]
+    checked = diff.validate(made, a, b, keys).unionByName(diff.validate(made, b, a, keys))
     return checked.groupBy("op", "valid").agg(F.count("*").alias("n_ops"))
 
 
+@query("patch_preview", f"WITH {_DIFF} SELECT replay_id, unique_id, x.op AS op, x.property AS property FROM j ORDER BY replay_id, unique_id, x.property NULLS FIRST LIMIT 50")
+def patch_preview(spark, d):
+    """The first fifty operations of a patch."""
+    return diff.preview(_patch(spark, d), ["replay_id", "unique_id", "property"]).select("replay_id", "unique_id", "op", "property")
+
+
+@query("diff_type_names", f"""
+WITH {_DIFF}, b2 AS (SELECT DISTINCT replay_id, unique_id FROM p WHERE frame_index = 60)
+SELECT j.replay_id, j.unique_id, count(*) AS n_ops, CASE WHEN any_value(b2.unique_id) IS NOT NULL THEN 'Player' END AS type_name FROM j LEFT JOIN b2 ON j.replay_id = b2.replay_id AND j.unique_id = b2.unique_id GROUP BY ALL
+""")
+def diff_type_names(spark, d):
+    keys = ["replay_id", "unique_id"]
+    named = diff.with_type_names(diff.summary(_patch(spark, d), keys), frame_at(players(spark, d), 60), keys)
+    return named.select("replay_id", "unique_id", "n_ops", "type_name")
+
+
 _CONSEC = f"""{_P}, l AS (SELECT *, lag(frame_index) OVER w AS frame_a, lag(struct_pack(team := team, health := health, is_alive := is_alive, score := score, deaths := deaths)) OVER w AS b FROM p WINDOW w AS (PARTITION BY replay_id, unique_id ORDER BY frame_index)),
 j AS (SELECT replay_id, unique_id, frame_a, frame_index AS frame_b, unnest({_slot_sql("l.b", "l")}) AS x FROM l WHERE frame_a IS NOT NULL)"""
 
@@ -462,6 +483,20 @@ def remove_if(spark, d):
     return mutate.remove_if(players(spark, d), ~F.col("is_alive") & (F.col("armor") == 0)).select("replay_id", "frame_index", "unique_id")
 
 
+@query("nested_edit", f"""
+WITH {_P} SELECT replay_id, frame_index, unique_id, CASE WHEN team = 1 THEN position.x + 1 ELSE position.x END AS x, position.y AS y FROM p
+""")
+def nested_edit(spark, d):
+    edited = mutate.set_nested(players(spark, d), "position.x", lambda x: x + 1, F.col("team") == 1)
+    return edited.select("replay_id", "frame_index", "unique_id", F.col("position.x").alias("x"), F.col("position.y").alias("y"))
+
+
+@query("process_context", f"WITH {_C} SELECT replay_id, frame_index, marker - 1 AS frame_number, ((marker - 1) // 40)::INT AS chunk_index, (marker - 1) % 40 AS chunk_frame FROM k")
+def process_context(spark, d):
+    """What processors are told of each frame."""
+    return mutate.with_context(clock(spark, d), 40).select("replay_id", "frame_index", "frame_number", "chunk_index", "chunk_frame")
+
+
 @query("missing_fields", f"""
 WITH {_P} SELECT replay_id, frame_index, unique_id, 0 AS entity_type_id,
   concat_ws(',', CASE WHEN name IS NULL THEN 'name' END, CASE WHEN team IS NULL THEN 'team' END, CASE WHEN health IS NULL THEN 'health' END, CASE WHEN armor IS NULL THEN 'armor' END,
@@ -661,10 +696,16 @@ def levenshtein_hint(spark, d):
     return words.select("word", F.when(distance <= 3, "rocket").alias("hint"), distance.cast("bigint").alias("distance"))
 
 
-@query("schema_name_lookup", "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+@query("schema_name_lookup", f"""
+WITH {_E}, n AS (SELECT unnest([0, 1, 2]) AS entity_type_id, unnest(['Player', 'Projectile', 'MatchState']) AS type_name, unnest([9, 5, 5]) AS n_properties)
+SELECT DISTINCT replay_id, unique_id, type_name, n_properties FROM e JOIN n USING (entity_type_id)
+""")
 def schema_name_lookup(spark, d):
-    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
-    return c.join(n, c.c_nationkey == n.n_nationkey, "left").join(r, n.n_regionkey == r.r_regionkey, "left").select("c_custkey", "n_name", "r_name")
+    """Entities with the name of their type and how many properties it declares, both looked up in the schema."""
+    from framelake.schema import SchemaRegistry
+
+    declared = SchemaRegistry.from_json(_stored_schema()).fields_frame(spark).groupBy(F.col("type_id").alias("entity_type_id"), F.col("struct").alias("type_name")).agg(F.count("*").cast("int").alias("n_properties"))
+    return presence(spark, d).select("replay_id", "unique_id", "entity_type_id").distinct().join(declared, "entity_type_id").select("replay_id", "unique_id", "type_name", "n_properties")
 
 
 @query("timeline_events", "SELECT event_id, epoch_us(ts) * 10 AS game_ticks, event_type, 'user ' || user_id AS entity_unique_id, (props::json->>'k')::INT AS k FROM events")

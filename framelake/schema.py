@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import keyword
 from collections import Counter
 from dataclasses import dataclass, field, replace
 
@@ -303,17 +304,47 @@ def next_generation(baseline: str, candidate: str) -> str:
     return json.dumps(data, indent=1)
 
 
+def clean_name(name: str, taken: set[str] | None = None) -> str:
+    """A name as an identifier: other signs become underscores, keywords and leading digits get one, repeats a number."""
+    out = "".join(c if c.isalnum() and c.isascii() or c == "_" else "_" for c in name) or "_"
+    out = f"_{out}" if out[0].isdigit() else f"{out}_" if keyword.iskeyword(out) else out
+    base, n = out, 2
+    while taken is not None and out in taken:
+        out, n = f"{base}_{n}", n + 1
+    if taken is not None:
+        taken.add(out)
+    return out
+
+
 def accessor_source(registry: SchemaRegistry) -> str:
-    """Python source of one typed accessor class per struct, for code that names properties as attributes."""
-    out = ["from pyspark.sql import functions as F", ""]
+    """Python source of one typed accessor class per struct: a getter and a setter per property, names cleaned."""
+    out = ["from pyspark.sql import functions as F", "", "from framelake.operators.mutate import set_value", ""]
+    classes: set[str] = set()
     for s in registry.structs:
-        out += ["", f"class {s.name}:", f"    TYPE_ID = {s.type_id}", f"    PROPERTIES = {[f.name for f in s.fields]!r}", ""]
+        out += ["", f"class {clean_name(s.name, classes)}:", f"    TYPE_ID = {s.type_id}", f"    PROPERTIES = {[f.name for f in s.fields]!r}", ""]
         out += ["    @staticmethod", "    def rows(frames):", f"        return frames.where(F.col('entity_type_id') == {s.type_id})"]
+        own = {"rows", "TYPE_ID", "PROPERTIES"}
         for f in s.fields:
-            if f.name.isidentifier():
-                out += ["", "    @staticmethod", f"    def {f.name}():", f"        return F.col({f.name!r})"]
+            name = clean_name(f.name, own)
+            column = "`" + f.name.replace("`", "``") + "`"
+            out += ["", "    @staticmethod", f"    def {name}():", f"        return F.col({column!r})"]
+            out += ["", "    @staticmethod", f"    def {clean_name(f'set_{name}', own)}(frames, value):", f"        return set_value(frames, {f.name!r}, value, F.col('entity_type_id') == {s.type_id})"]
     return "\n".join(out) + "\n"
 
 
+def schema_text(registry: SchemaRegistry) -> str:
+    """The schema as it is exported: indented JSON with types and containers in their canonical spelling."""
+    mapping = []
+    for s in registry.structs:
+        values = []
+        for f in s.fields:
+            value = {"name": f.name, "typeId": f.type, "containerType": f.container}
+            value |= {"structType": f.struct_type} if f.struct_type else {}
+            value |= {"keyId": f.key} if f.key != "None" else {}
+            values.append(value | ({"meta": f.meta} if f.meta else {}))
+        mapping.append({"struct": s.name, "values": values})
+    return json.dumps({"version": registry.version, "buckets": registry.buckets, "property_mapping": mapping}, indent=4, ensure_ascii=False)
+
+
 def renamed_slot(f: Field, slot: int) -> Field:
     return replace(f, slot=slot)

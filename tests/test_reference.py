@@ -338,6 +338,26 @@ def test_array_and_map_ops(spark):
     assert [(o.op, o.key) for o in df.select(diff.map_ops(F.col("x"), F.col("y"))).first()[0]] == [("Remove", "a"), ("Replace", "b"), ("Add", "c")]
 
 
+def test_nested_edits(spark):
+    df = spark.createDataFrame([(1, (1, [(1, "a"), (2, "b")])), (2, (None, None)), (3, None)], "i int, s struct<n:int,l:array<struct<k:int,t:string>>>")
+    edited = {r.i: r.s for r in mutate.set_nested(mutate.set_nested(df, "s.l[].k", lambda k: k * 10), "s.n", lambda n: F.lit(7), F.col("i") < 3).collect()}
+    assert (edited[1].n, [(x.k, x.t) for x in edited[1].l], edited[2].n, edited[2].l, edited[3]) == (7, [(10, "a"), (20, "b")], 7, None, None)
+    assert mutate.set_nested(df, "s.none", lambda x: x).schema == df.schema and mutate.set_nested(df, "none.x", lambda x: x) is df
+
+
+def test_accessors_have_clean_names_and_setters(spark):
+    r = S.SchemaRegistry.from_json('{"version": "2", "buckets": ["b"], "property_mapping": [{"struct": "A b", "values": [{"name": "1st", "typeId": "int"}, {"name": "class", "typeId": "FLOAT", "containerType": "ARRAY"}, {"name": "a-b", "typeId": "Bool"}, {"name": "a b", "typeId": "Bool"}]}]}')
+    made: dict = {}
+    exec(S.accessor_source(r), made)
+    own = made["A_b"]
+    assert {"_1st", "class_", "a_b", "a_b_2", "set_a_b_2"} <= set(dir(own))
+    df = spark.createDataFrame([(0, 5), (1, 5)], "entity_type_id int, `1st` int")
+    assert sorted(r[0] for r in own.set__1st(df, F.lit(9)).select(own._1st()).collect()) == [5, 9]
+    back = S.SchemaRegistry.from_json(S.schema_text(r))
+    told = lambda x: [(s.name, s.type_id, [(f.name, f.ordinal, *f.signature()) for f in s.fields]) for s in x.structs]
+    assert told(back) == told(r) and back.buckets == r.buckets and back.version == "2"
+
+
 def test_nested_operations(spark):
     shape = "unique_id string, s struct<a:int,v:struct<x:double,y:double,z:double>,t:struct<b:string>>, l array<struct<c:int>>, n array<int>, m map<string,struct<c:int>>"
     one = spark.createDataFrame([("u", (1, (0.0, 0.0, 0.0), ("x",)), [(1,), (2,)], [1, 2], {"k": (1,), "g": (2,)}), ("gone", None, None, None, None), ("w", None, [(1,)], None, None)], shape)
