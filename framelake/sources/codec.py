@@ -10,7 +10,6 @@ from typing import Any
 
 import flatbuffers
 import flatbuffers.number_types as N
-import flatbuffers.table
 from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
 
 # Layouts of inline structs, and of tables as (field, type, field number of the tagged encoding) in vtable order.
@@ -150,44 +149,81 @@ def encode_tables(name: str, message: dict) -> bytes:
     return bytes(builder.Output())
 
 
-def _read(table: flatbuffers.table.Table, name: str) -> dict:
+_U16, _U32, _I32 = struct.Struct("<H"), struct.Struct("<I"), struct.Struct("<i")
+
+
+def _plan(name: str) -> list[tuple]:
+    """How each slot of a table is read: (field, kind of reading, what it needs)."""
+    out: list[tuple] = []
+    for f, kind, _ in TABLES[name]:
+        inner = kind.strip("[]")
+        if kind == "[ubyte]":
+            out.append((f, "bytes", None))
+        elif kind[0] == "[":
+            how = "scalars" if inner in _SCALARS else "structs" if inner in STRUCTS else "strings" if inner == "string" else "tables"
+            out.append((f, how, _SCALARS[inner][2] if how == "scalars" else inner))
+        else:
+            how = "string" if kind == "string" else "table" if kind in TABLES else "struct" if kind in STRUCTS else "scalar"
+            out.append((f, how, struct.Struct(_SCALARS[kind][0]) if how == "scalar" else kind))
+    return out
+
+
+_PLANS = {name: _plan(name) for name in TABLES}
+_SIZES = {name: struct.calcsize(form) for name, (form, _, _) in STRUCTS.items()} | {letter: struct.calcsize("<" + letter) for _, _, letter in _SCALARS.values()}
+
+
+def _string(buffer: bytes, at: int) -> str:
+    n = _U32.unpack_from(buffer, at)[0]
+    if at + 4 + n > len(buffer):
+        raise CodecError("a text reaches beyond the message")
+    return str(buffer[at + 4 : at + 4 + n], "utf-8", "replace")
+
+
+def _read(buffer: bytes, pos: int, name: str) -> dict:
+    """A table: its vtable is read at once, and only the slots that are there are looked at."""
+    vtable = pos - _I32.unpack_from(buffer, pos)[0]
+    if vtable < 0 or pos < 0:
+        raise CodecError("a table lies before the message")
+    slots = struct.unpack_from(f"<{max(0, (_U16.unpack_from(buffer, vtable)[0] - 4) // 2)}H", buffer, vtable + 4)
     out: dict[str, Any] = {}
-    buffer = table.Bytes
-    for slot, (f, kind, _) in enumerate(TABLES[name]):
-        o = table.Offset(4 + 2 * slot)
+    for o, (f, how, inner) in zip(slots, _PLANS[name]):  # noqa: B905
         if not o:
             continue
-        at = o + table.Pos
-        if kind[0] == "[":
-            inner, n, start = kind[1:-1], table.VectorLen(o), table.Vector(o)
-            if start + n > len(buffer):
+        at = pos + o
+        if how == "scalar":
+            out[f] = inner.unpack_from(buffer, at)[0]
+            continue
+        if how == "struct":
+            out[f] = _unpack(inner, buffer, at)
+            continue
+        at += _U32.unpack_from(buffer, at)[0]
+        if how == "string":
+            out[f] = _string(buffer, at)
+        elif how == "table":
+            out[f] = _read(buffer, at, inner)
+        else:
+            n, start = _U32.unpack_from(buffer, at)[0], at + 4
+            if start + n * _SIZES.get(inner, 1) > len(buffer):
                 raise CodecError("a vector reaches beyond the message")
-            if inner == "ubyte":
-                out[f] = bytes(buffer[start : start + n])
-            elif inner in _SCALARS:
-                out[f] = list(struct.unpack_from(f"<{n}{_SCALARS[inner][2]}", buffer, start))
-            elif inner in STRUCTS:
-                size = struct.calcsize(STRUCTS[inner][0])
+            if how == "scalars":
+                out[f] = list(struct.unpack_from(f"<{n}{inner}", buffer, start))
+            elif how == "structs":
+                size = _SIZES[inner]
                 out[f] = [_unpack(inner, buffer, start + i * size) for i in range(n)]
-            elif inner == "string":
-                out[f] = [table.String(start + 4 * i).decode("utf-8", "replace") for i in range(n)]
+            elif how == "bytes":
+                out[f] = bytes(buffer[start : start + n])
             else:
-                out[f] = [_read(flatbuffers.table.Table(buffer, table.Indirect(start + 4 * i)), inner) for i in range(n)]
-        elif kind == "string":
-            out[f] = table.String(at).decode("utf-8", "replace")
-        elif kind in TABLES:
-            out[f] = _read(flatbuffers.table.Table(buffer, table.Indirect(at)), kind)
-        elif kind in STRUCTS:
-            out[f] = _unpack(kind, buffer, at)
-        else:
-            out[f] = struct.unpack_from(_SCALARS[kind][0], buffer, at)[0]
+                places = struct.unpack_from(f"<{n}I", buffer, start)
+                if how == "strings":
+                    out[f] = [_string(buffer, start + 4 * i + p) for i, p in enumerate(places)]
+                else:
+                    out[f] = [_read(buffer, start + 4 * i + p, inner) for i, p in enumerate(places)]
     return out
 
 
 def decode_tables(name: str, data: bytes) -> dict:
     try:
-        buffer = bytearray(data)
-        return _read(flatbuffers.table.Table(buffer, struct.unpack_from("<I", buffer, 0)[0]), name)
+        return _read(bytes(data), _U32.unpack_from(data, 0)[0], name)
     except CodecError:
         raise
     except Exception as e:  # wherever torn offsets lead
