@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import logging
 from collections.abc import Callable, Sequence
 
@@ -70,6 +71,46 @@ class Function(Processor):
         return self.name
 
 
+class RowFunction(Processor):
+    """A Python function on each row (a dict, changed in place or returned), in Arrow batches.
+
+    ``on_error="ignore"`` keeps a row on which the function fails as it was and goes on; ``raise`` ends the job. For
+    what column expressions can't say: rows pass through Python.
+    """
+
+    def __init__(self, function: Callable[[dict], dict | None], on_error: str = "raise", name: str = "row function"):
+        if on_error not in ("raise", "ignore"):
+            raise ValueError("on_error must be raise or ignore")
+        self.function, self.on_error, self.name = function, on_error, name
+
+    def process(self, rows: DataFrame) -> DataFrame:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        function, ignore, shape = self.function, self.on_error == "ignore", to_arrow_schema(rows.schema)
+
+        def walk(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                out = []
+                for row in batch.to_pylist():
+                    changed = copy.deepcopy(row)
+                    try:
+                        changed = function(changed) or changed
+                        pa.RecordBatch.from_pylist([changed], shape)  # a value of another type fails here, with its row
+                    except Exception:
+                        if not ignore:
+                            raise
+                        changed = row
+                    out.append(changed)
+                yield pa.RecordBatch.from_pylist(out, shape)
+
+        return rows.mapInArrow(walk, rows.schema)
+
+    def print_info(self) -> str:
+        return self.name
+
+
 class Clamp(Processor):
     """Brings numbers into [low, high] and marks the rows that it changed in ``clamped_<column>``, if asked."""
 

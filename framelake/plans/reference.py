@@ -729,9 +729,16 @@ def ingest_accepted(spark, d):
     return accept_batch(clocked, 40, time_filter="decreasing", increasing=False)
 
 
-@query("bone_pack_roundtrip")
+@query("bone_pack_roundtrip", f"""
+WITH {_P}, q AS (SELECT replay_id, coalesce(abs(position.x) <= 100 AND abs(position.y) <= 100 AND abs(position.z) <= 100, false) AS inside FROM p WHERE position IS NOT NULL),
+n AS (SELECT replay_id, count_if(inside)::BIGINT AS n, count_if(NOT inside)::BIGINT AS n_outside FROM q GROUP BY ALL)
+SELECT replay_id, n AS n_inside, n_outside, n AS n_fine, n AS n_coarse, n AS n_turned, n AS n_scaled FROM n
+""")
 def bone_pack_roundtrip(spark, d):
-    """Per recording, the greatest error of positions that went through 16-byte transforms."""
+    """Per recording, transforms that went through 16 bytes in either layout and came back within a code's width.
+
+    Positions inside the settings' range (n_outside are the others), turned where the velocity points, scaled by health.
+    """
     from collections.abc import Iterator
 
     import numpy as np
@@ -740,15 +747,25 @@ def bone_pack_roundtrip(spark, d):
     from framelake.functions import bones
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settings = bones.BoneSettings(-100.0, 200.0, fine_position=True)
+        fine, coarse = bones.BoneSettings(-100.0, 200.0, fine_position=True), bones.BoneSettings(-100.0, 200.0, 0.0, 10.0)
         for batch in batches:
-            x = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in "xyz"], axis=1)
-            q = np.tile([0.0, 0.0, 0.0, 1.0], (len(x), 1))
-            back = bones.unpack(bones.pack(x, q, np.ones_like(x), settings), settings)[0]
-            yield pa.RecordBatch.from_arrays([batch["replay_id"], pa.array(np.abs(back - x).max(axis=1, initial=0))], names=["replay_id", "error"])
-
-    inside = players(spark, d).select("replay_id", "position.*").where((F.abs("x") <= 60) & (F.abs("y") <= 60) & (F.abs("z") <= 60))
-    return inside.mapInArrow(walk, "replay_id string, error double").groupBy("replay_id").agg(F.max("error").alias("error"), F.count("*").alias("n"))
+            number = lambda c: batch[c].to_numpy(zero_copy_only=False).astype(float)  # noqa: B023, E731
+            x = np.stack([number(c) for c in "xyz"], axis=1)
+            inside = (np.abs(x) <= 100).all(axis=1)
+            here = np.where(inside[:, None], x, 0.0)
+            half = np.nan_to_num(np.arctan2(number("vx"), number("vz"))) / 2
+            q = np.stack([np.sin(half) * 0.6, np.sin(half) * 0.8, np.zeros(len(x)), np.cos(half)], axis=1)
+            scale = np.clip(1 + np.nan_to_num(number("health")) / 20, 0.5, 9.5)[:, None] * np.array([1.0, 0.5, 1.0])
+            one, two = (bones.unpack(bones.pack(here, q, scale, s), s) for s in (fine, coarse))
+            near = lambda a, b, most: (np.abs(a - b) <= most).all(axis=1)
+            told = [inside, ~inside, near(one[0], here, 2e-4), near(two[0], here, 2e-3), np.abs((one[1] * q).sum(axis=1)) > 1 - 1e-6, near(two[2], scale, 0.02)]
+            cells = [told[0], told[1], *[t & inside for t in told[2:]]]
+            yield pa.RecordBatch.from_arrays([batch["replay_id"], *[pa.array(c) for c in cells]], names=["replay_id", *names])
+
+    names = ["n_inside", "n_outside", "n_fine", "n_coarse", "n_turned", "n_scaled"]
+    rows = players(spark, d).where(F.col("position").isNotNull()).select("replay_id", "position.*", F.col("velocity.x").alias("vx"), F.col("velocity.z").alias("vz"), F.col("health").cast("double").alias("health"))
+    told = rows.mapInArrow(walk, "replay_id string, " + ", ".join(f"{n} boolean" for n in names))
+    return told.groupBy("replay_id").agg(*[F.count_if(n).alias(n) for n in names])
 
 
 _PLAYER_SCHEMA = '{"version": "1.0.0", "buckets": ["entity"], "property_mapping": [{"struct": "Player", "values": [{"name": "name", "typeId": "String"}, {"name": "team", "typeId": "Int32"}, {"name": "score", "typeId": "Int32"}, {"name": "deaths", "typeId": "Int32"}, {"name": "health", "typeId": "Float"}, {"name": "position", "typeId": "Vector"}]}]}'

@@ -202,6 +202,21 @@ def p6_reasons(spark: SparkSession, d: str) -> DataFrame:
     return implausible(table(spark, d, "player_states"))
 
 
+def p6_impossible(spark: SparkSession, d: str) -> DataFrame:
+    """The readings that the bounds alone find."""
+    return p6_reasons(spark, d).where(F.col("reason") == "impossible").select("replay_id", "unique_id", "frame_index", "field")
+
+
+P6_SQL = {
+    "p6_impossible": """
+WITH p AS (SELECT DISTINCT replay_id, lower(trim(unique_id)) AS unique_id, frame_index, position, velocity, health::DOUBLE AS health FROM player_states)
+SELECT replay_id, unique_id, frame_index, 'position' AS field FROM p WHERE NOT (isfinite(position.x) AND isfinite(position.y) AND isfinite(position.z) AND greatest(abs(position.x), abs(position.y), abs(position.z)) <= 60)
+UNION ALL SELECT replay_id, unique_id, frame_index, 'velocity' FROM p WHERE NOT (isfinite(velocity.x) AND isfinite(velocity.y) AND isfinite(velocity.z))
+UNION ALL SELECT replay_id, unique_id, frame_index, 'health' FROM p WHERE NOT (isfinite(health) AND health BETWEEN 0 AND 100)
+"""
+}
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_reasons(spark, d).select("replay_id", "unique_id", "frame_index", "field")
 
@@ -213,7 +228,7 @@ def queries() -> dict[str, Query]:
         "p3_found": p3_found,
         "p4_found": p4_found, "p4_runs": p4_runs,
         "p5_found": p5_found,
-        "p6_found": p6_found, "p6_reasons": p6_reasons,
+        "p6_found": p6_found, "p6_reasons": p6_reasons, "p6_impossible": p6_impossible,
     }
     for node in ("", "players", "players.loadout", "players.loadout.mods", "projectiles", "projectiles.hits", "match_state", "position", "velocity"):
         out[f"p3_{(node or 'frames').replace('.', '_')}"] = _p3_table(node)
@@ -221,4 +236,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**P1_SQL, **drift.ORACLE, **P4_SQL, **P5_SQL}
+    return {**P1_SQL, **drift.ORACLE, **P4_SQL, **P5_SQL, **P6_SQL}

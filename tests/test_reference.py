@@ -338,6 +338,21 @@ def test_array_and_map_ops(spark):
     assert [(o.op, o.key) for o in df.select(diff.map_ops(F.col("x"), F.col("y"))).first()[0]] == [("Remove", "a"), ("Replace", "b"), ("Add", "c")]
 
 
+def test_a_row_that_fails_is_kept_or_ends_the_job(spark):
+    df = spark.createDataFrame([(1, 4, [1]), (2, 0, [2]), (3, None, None)], "i int, n int, l array<int>")
+
+    def step(row):
+        row["l"] = [9]
+        row["n"] = 8 // row["n"]
+
+    got = {r.i: (r.n, r.l) for r in mutate.RowFunction(step, "ignore").process(df).collect()}
+    assert got == {1: (2, [9]), 2: (0, [2]), 3: (None, None)}
+    with pytest.raises(Exception, match="division"):
+        mutate.RowFunction(step).process(df).collect()
+    wrong = mutate.RowFunction(lambda r: {**r, "n": "text"} if r["i"] == 1 else None, "ignore")
+    assert {r.i: r.n for r in mutate.Chain(wrong).process(df).collect()} == {1: 4, 2: 0, 3: None}
+
+
 def test_nested_edits(spark):
     df = spark.createDataFrame([(1, (1, [(1, "a"), (2, "b")])), (2, (None, None)), (3, None)], "i int, s struct<n:int,l:array<struct<k:int,t:string>>>")
     edited = {r.i: r.s for r in mutate.set_nested(mutate.set_nested(df, "s.l[].k", lambda k: k * 10), "s.n", lambda n: F.lit(7), F.col("i") < 3).collect()}

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.operators.blocked import running, with_previous
+from framelake.operators.blocked import accumulated, running, windows, with_previous
 from framelake.operators.runs import collapse_runs
 from framelake.operators.snapshots import neighbours
 
@@ -59,6 +59,17 @@ def test_blocked_windows(spark, block):
     for i, f in enumerate(order):
         before = [values[g] for g in order[:i]]
         assert run[f] == (sum(before) + values[f], max(before) if before else None, i + 1)
+    sums = {r.f: r.s for r in accumulated(df, ["k"], "f", "s", "v", F.col("v") + 1000, lambda a, b: F.when(b > a, b - a).otherwise(1), block).collect()}
+    want, at = {}, 0
+    for i, f in enumerate(order):
+        step = values[f] - values[order[i - 1]] if i else 0
+        at = at + (step if step > 0 else 1) if i else values[f] + 1000
+        want[f] = at
+    assert sums == want
+    both = windows(df.withColumn("k", F.when(F.col("f") % 2 == 0, F.col("k"))), ["k"], "f", ["v"], {"n": ("count", F.lit(1), True)}, block).collect()
+    for odd in (0, 1):  # null keys are a sequence of their own
+        own = [f for f in order if f % 2 == odd]
+        assert {r.f: (r.prev_v, r.n) for r in both if r.f % 2 == odd} == {f: (values[own[i - 1]] if i else None, i + 1) for i, f in enumerate(own)}
     near = {r.f: (r.before, r.after) for r in neighbours(df.select("k", "f"), ["k"], "f", block).collect()}
     assert near == {f: (order[i - 1] if i else None, order[i + 1] if i + 1 < len(order) else None) for i, f in enumerate(order)}
 
@@ -76,3 +87,29 @@ def test_p4_runs_keeps_stretches_of_one_frame(spark, data):
     found = training.p4_found(spark, data)
     assert found.exceptAll(runs.where("n_frames > 1").select(found.columns)).count() == 0
     assert found.count() == runs.where("n_frames > 1").count()
+
+
+@pytest.mark.parametrize("block", [1, 3, 50])
+def test_lifetimes_and_spans_do_not_depend_on_blocks(spark, block):
+    from framelake.operators.analysis import lifetimes, value_spans
+
+    rng = random.Random(9)
+    frames = sorted(rng.sample(range(60), 40))
+    rows = [(r, f, u, 0, rng.choice("xy")) for r in ("r", None) for f in frames for u in ("a", "b", "c") if rng.random() < 0.8 and (u != "c" or 20 < f < 40)]
+    df = spark.createDataFrame([*rows, *rng.sample(rows, 20)], "replay_id string, frame_index int, unique_id string, entity_type_id int, v string")
+    want_lives, want_spans = set(), set()
+    for replay in ("r", None):
+        present = sorted({f for r, f, *_ in rows if r == replay})
+        for u in "abc":
+            values = {f: v for r, f, w, _, v in rows if r == replay and w == u}
+            for changes, out in ((lambda a, b: False, want_lives), (lambda a, b: a != b, want_spans)):
+                start = last = None
+                for f in [*present, None]:
+                    here = f in values
+                    if start is not None and (not here or changes(values[last], values[f])):
+                        out.add((replay, u, start, last, values[start] if out is want_spans else None))
+                        start = None
+                    if here:
+                        start, last = f if start is None else start, f
+    assert {(r.replay_id, r.unique_id, r.start_frame, r.end_frame, None) for r in lifetimes(df, block).collect()} == want_lives
+    assert {(r.replay_id, r.unique_id, r.start_frame, r.end_frame, r.value) for r in value_spans(df, ["v"], block=block).collect()} == want_spans
