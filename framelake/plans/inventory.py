@@ -352,6 +352,37 @@ def export_unique(spark, d):
     return exports.unique_table(analysis.unique_properties(players(spark, d), ["team", "is_alive"]), ["team", "is_alive"])
 
 
+# --- loaders
+
+
+@query("json_loaded", """
+WITH r AS (SELECT record_id, payload::json AS p FROM raw_records WHERE struct_name = 'Projectile')
+SELECT record_id, upper(p->>'UniqueID') AS UniqueID, try_cast(p->>'Damage' AS DOUBLE) AS Damage, p->>'Type' AS Type, (p->'Position'->>'x')::DOUBLE AS x,
+  concat_ws(',', CASE WHEN NOT list_contains(json_keys(p), 'UniqueID') THEN 'UniqueID' END, CASE WHEN NOT list_contains(json_keys(p), 'Damage') THEN 'Damage' END, CASE WHEN NOT list_contains(json_keys(p), 'Type') THEN 'Type' END, CASE WHEN NOT list_contains(json_keys(p), 'Position') THEN 'Position' END) AS missing
+FROM r
+""")
+def json_loaded(spark, d):
+    """Projectiles of raw records read by a schema, leniently, through a sanitizer."""
+    from framelake.sources.loaders import from_json_text
+
+    struct = T._parse_datatype_string("UniqueID string, Damage double, Type string, Position struct<x:double,y:double,z:double>")
+    rows = table(spark, d, "raw_records").where(F.col("struct_name") == "Projectile").select("record_id", "payload")
+    read = from_json_text(rows, "payload", struct, sanitize=lambda r: r.withColumn("UniqueID", F.upper("UniqueID")), hash_column="content")
+    return read.select("record_id", "UniqueID", "Damage", "Type", F.col("Position.x").alias("x"), F.array_join("missing_keys", ",").alias("missing"))
+
+
+@query("typed_store", f"WITH {_P} SELECT replay_id, frame_index, unique_id, CASE WHEN health IS NOT NULL THEN printf('%.6f', health::DOUBLE) END AS health, deaths::VARCHAR AS deaths, is_alive::INT::VARCHAR AS is_alive, score::DOUBLE AS score, try_cast(name AS INT)::DOUBLE AS name FROM p WHERE health IS NULL OR isfinite(health)")
+def typed_store(spark, d):
+    """Values as slots of other types hold them."""
+    from framelake.sources.loaders import stored
+
+    rows = players(spark, d).where(F.col("health").isNull() | ~(F.isnan("health") | F.abs("health").isin(float("inf"))))
+    text_, number = T.StringType(), T.DoubleType()
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    cells = {"health": text_, "deaths": text_, "is_alive": text_, "score": number}
+    return rows.select("replay_id", "frame_index", "unique_id", *[stored(F.col(c), k, kinds[c]).alias(c) for c, k in cells.items()], stored(F.col("name"), T.IntegerType(), text_).cast("double").alias("name"))
+
+
 # --- hashes and diffs
 
 

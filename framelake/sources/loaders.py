@@ -13,14 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelake.functions.text import fixed
 from framelake.schema import SchemaRegistry
 
 ERRORS = ("strict", "lenient", "silent")
 NAMING = ("exact", "lowercase")
 
 
-def from_json_text(rows: DataFrame, column: str, struct: T.StructType, errors: str = "lenient", naming: str = "exact") -> DataFrame:
-    """``rows`` with the struct's fields read from a JSON column (and ``missing_keys`` if lenient)."""
+def from_json_text(
+    rows: DataFrame, column: str, struct: T.StructType, errors: str = "lenient", naming: str = "exact", sanitize: Callable[[DataFrame], DataFrame] | None = None, hash_column: str | None = None
+) -> DataFrame:
+    """``rows`` with the struct's fields read from a JSON column (and ``missing_keys`` if lenient).
+
+    ``sanitize`` is applied to the rows read; ``hash_column`` then gets a hash of the fields, in which null is a value of its own.
+    """
     if errors not in ERRORS or naming not in NAMING:
         raise ValueError(f"errors must be of {ERRORS}, naming of {NAMING}")
     read = F.from_json(column, struct, {"mode": "FAILFAST" if errors == "strict" else "PERMISSIVE"})
@@ -41,7 +47,9 @@ def from_json_text(rows: DataFrame, column: str, struct: T.StructType, errors: s
         made[first] = F.when(torn.isNull(), made[first])
     elif errors == "lenient":
         made["missing_keys"] = missing
-    return out.withColumns(made).drop("__raw", "__read")
+    out = out.withColumns(made).drop("__raw", "__read")
+    out = sanitize(out) if sanitize is not None else out
+    return out if hash_column is None else out.withColumn(hash_column, F.xxhash64(*[x for f in struct.fields for x in (F.col(f.name).isNull(), F.col(f.name))]))
 
 
 def json_files(spark: SparkSession, path: str, struct: T.StructType, errors: str = "lenient") -> DataFrame:
@@ -79,6 +87,13 @@ def map_key(first_text: Column, first_int: Column, position: Column) -> Column:
     return F.coalesce(F.when(first_text != "", first_text), first_int.cast("string"), F.concat(F.lit("Key_"), position.cast("string")))
 
 
-def stored(value: Column, kind: T.DataType) -> Column:
-    """A value as a slot stores it: numbers become texts where a text is declared, and null where they can't be read."""
+def stored(value: Column, kind: T.DataType, given: T.DataType | None = None) -> Column:
+    """A value of a ``given`` type as a slot of another stores it.
+
+    Numbers become texts where a text is declared, fractions with six decimals; what can't be read is null.
+    """
+    if isinstance(kind, T.StringType) and isinstance(given, (T.FloatType, T.DoubleType)):
+        return fixed(value, 6)
+    if isinstance(kind, T.StringType) and isinstance(given, T.BooleanType):
+        return value.cast("int").cast("string")
     return value.try_cast(kind)
