@@ -590,11 +590,19 @@ def _stored_sql() -> str:
     return f"WITH s AS ({' UNION ALL '.join(parts)})"
 
 
-def _given_back(spark: SparkSession, d: str, backend: str) -> DataFrame:
+def _recordings(spark: SparkSession, d: str, backend: str) -> str:
+    """A folder of the shared one for the recordings of a data folder."""
+    import zlib
+
     from framelake.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark)}/replays_{backend}_{zlib.crc32(d.encode()):08x}"
+
+
+def _given_back(spark: SparkSession, d: str, backend: str) -> DataFrame:
     from framelake.sources import replay
 
-    at = f"{checkpoint_dir(spark)}/replays_{backend}"
+    at = _recordings(spark, d, backend)
     replay.write_replays(_recorded(frames(spark, d)), at, _stored_schema(), backend, max_frames=40)
     return replay.read_replays(spark, at)
 
@@ -630,21 +638,19 @@ _ORDERED = "f AS (SELECT replay_id, frame_index, dense_rank() OVER (PARTITION BY
 @query("replay_chunks", f"{_stored_sql()}, {_ORDERED} SELECT replay_id, (n // 40)::INT AS chunk_index, min(n)::INT AS start_frame, max(n)::INT AS end_frame FROM f GROUP BY ALL")
 def replay_chunks(spark, d):
     """Seek tables as the files hold them."""
-    from framelake.session import checkpoint_dir
     from framelake.sources import replay
 
     _given_back(spark, d, "flatbuffers")
-    return replay.metadata(spark, f"{checkpoint_dir(spark)}/replays_flatbuffers")["chunks"].select("replay_id", "chunk_index", "start_frame", "end_frame")
+    return replay.metadata(spark, _recordings(spark, d, "flatbuffers"))["chunks"].select("replay_id", "chunk_index", "start_frame", "end_frame")
 
 
 @query("replay_range", f"{_stored_sql()}, {_ORDERED} SELECT s.replay_id, f.n::INT AS frame_index, unique_id FROM s JOIN f USING (replay_id, frame_index) WHERE f.n BETWEEN 45 AND 50")
 def replay_range(spark, d):
     """A frame range of every recording; chunks outside it are not opened."""
-    from framelake.session import checkpoint_dir
     from framelake.sources import replay
 
     _given_back(spark, d, "flatbuffers")
-    return replay.read_replays(spark, f"{checkpoint_dir(spark)}/replays_flatbuffers", frames=(45, 50)).select("replay_id", "frame_index", "unique_id")
+    return replay.read_replays(spark, _recordings(spark, d, "flatbuffers"), frames=(45, 50)).select("replay_id", "frame_index", "unique_id")
 
 
 # --- functions
