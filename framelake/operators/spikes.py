@@ -312,11 +312,11 @@ def implausible(states: DataFrame, limits: Limits = Limits(), block: int = 4096,
     work is cut up.
     """
     cast = lambda c: F.col(c).cast("double")
-    number = F.floor(F.col("frame_index") / block)
+    number = F.greatest(F.floor(F.col("frame_index") / block), F.lit(0))  # the first block has what lies before frame 0 too
     within = F.col("frame_index") - number * block
     reach = -(-HALO // block)  # blocks that the halo touches on either side
     near = [F.when(F.lit(k) * block - within <= HALO, number + k) if k > 0 else F.when(within - (F.lit(k + 1) * block - 1) <= HALO, number + k) for k in range(-reach, reach + 1) if k]
-    blocks = F.array_compact(F.array(number, *near))
+    blocks = F.filter(F.array(number, *near), lambda b: b >= 0)
     rows = states.where(F.col("frame_index").isNotNull()).select(
         "replay_id", F.lower(F.trim("unique_id")).alias("unique_id"), "frame_index", F.col("game_time").alias("game_time"), "is_alive",
         *[cast(f"{n}.{a}").alias(f"{n[0]}{a}") for n in ("position", "velocity") for a in "xyz"],
