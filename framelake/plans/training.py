@@ -119,6 +119,58 @@ def _p3_table(node: str) -> Query:
     return query
 
 
+def _entries_sql(j: str) -> str:
+    """The entries of a list, which may be one object or JSON text."""
+    inner = f"({j}->>'$')::json"
+    return f"""CASE json_type({j}) WHEN 'ARRAY' THEN from_json({j}, '["json"]') WHEN 'OBJECT' THEN [{j}] WHEN 'VARCHAR' THEN CASE WHEN json_valid({j}->>'$') THEN CASE json_type({inner}) WHEN 'ARRAY' THEN from_json({inner}, '["json"]') WHEN 'OBJECT' THEN [{inner}] END END END"""
+
+
+def _level_sql(name: str, of: str, keys: tuple[str, str], root: bool = False) -> str:
+    """A level of entries ``e`` with their path and their parent's."""
+    at = "i::VARCHAR" if root else "path || '/' || i"
+    path = "NULL::VARCHAR" if root else "path"
+    return f"""{name}_l AS (SELECT frame_id, {path} AS path, coalesce(e->'{keys[0]}', e->'{keys[1]}') AS j FROM {of}), {name}_m AS (SELECT frame_id, path, {_entries_sql("j")} AS l FROM {name}_l),
+{name}_n AS (SELECT frame_id, path, l, unnest(range(len(l))) AS i FROM {name}_m), {name} AS (SELECT frame_id, coalesce(path, '') AS parent_path, {at} AS path, l[i + 1] AS e FROM {name}_n WHERE json_type(l[i + 1]) <> 'NULL')"""
+
+
+_P3 = f"""
+WITH b AS (SELECT frame_id, CASE WHEN json_valid(body) THEN body::json END AS b FROM frame_docs),
+r AS (SELECT frame_id, coalesce(b->'data'->'frame', b->'frame', b->'data', b) AS e FROM b WHERE b IS NOT NULL),
+{_level_sql("players", "r", ("players", "Players"), True)},
+{_level_sql("loadout", "players", ("loadout", "Loadout"))},
+{_level_sql("mods", "loadout", ("mods", "Mods"))},
+{_level_sql("projectiles", "r", ("projectiles", "Projectiles"), True)},
+{_level_sql("hits", "projectiles", ("hits", "Hits"))},
+{_level_sql("match_state", "r", ("match_state", "MatchState"), True)}
+"""
+_NODES = {"players": "players", "loadout": "players.loadout", "mods": "players.loadout.mods", "projectiles": "projectiles", "hits": "projectiles.hits", "match_state": "match_state"}
+
+
+def _cells_sql(columns: str) -> str:
+    return ", ".join(f"(e->>'{c}')::{kind} AS {c}" for c, kind in (c.split() for c in columns.split(", ")))
+
+
+def _point_sql(name: str) -> str:
+    parts = []
+    for level in ("players", "projectiles"):
+        point = f"(e->'{name}')"
+        cells = ", ".join(f"(CASE json_type{point} WHEN 'ARRAY' THEN {point}->>{i} ELSE {point}->>'{a}' END)::DOUBLE AS {a}" for i, a in enumerate("xyz"))
+        parts.append(f"SELECT frame_id, '{level}.{name}' AS node, path || '/0' AS path, '{level}' AS parent_node, path AS parent_path, {cells} FROM {level} WHERE json_type{point} IN ('ARRAY', 'OBJECT')")
+    return _P3 + " UNION ALL ".join(parts)
+
+
+P3_SQL = {
+    "p3_found": _P3 + " UNION ALL ".join(f"SELECT frame_id, '{node}' AS node, path FROM {level}" for level, node in _NODES.items()),
+    "p3_frames": _P3 + f"SELECT frame_id, '' AS path, NULL::VARCHAR AS parent_path, {_cells_sql('frame_index BIGINT, game_time DOUBLE, utc_ticks BIGINT')} FROM r",
+    "p3_players_loadout_mods": _P3 + f"SELECT frame_id, path, parent_path, {_cells_sql('mod VARCHAR, level BIGINT')} FROM mods",
+    "p3_projectiles": _P3 + f"SELECT frame_id, path, parent_path, {_cells_sql('unique_id VARCHAR, owner_id VARCHAR, damage DOUBLE, type VARCHAR')} FROM projectiles",
+    "p3_projectiles_hits": _P3 + f"SELECT frame_id, path, parent_path, {_cells_sql('target_id VARCHAR, damage BIGINT')} FROM hits",
+    "p3_match_state": _P3 + f"SELECT frame_id, path, parent_path, {_cells_sql('score_team1 BIGINT, score_team2 BIGINT, round BIGINT, phase VARCHAR, time_remaining DOUBLE')} FROM match_state",
+    "p3_position": _point_sql("position"),
+    "p3_velocity": _point_sql("velocity"),
+}
+
+
 # --- p4: stretches of one state
 
 
@@ -236,4 +288,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**P1_SQL, **drift.ORACLE, **P4_SQL, **P5_SQL, **P6_SQL}
+    return {**P1_SQL, **drift.ORACLE, **P3_SQL, **P4_SQL, **P5_SQL, **P6_SQL}
