@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Container, Sequence
 from dataclasses import dataclass, field
 
+from framelake.llm.words import Register
+
 # Sentences in English, French and German; a field in braces is planted. {name} to {id} are
 # cases, the others are not: {member}, {place}, {thing} with a number behind it, {amount}, {date}.
 TRAIN = {
@@ -56,14 +59,14 @@ CASES = {"name": "name", "member": "member", "lastfirst": "name", "last": "name"
 class Pools:
     """What planted data are made of: names of members to share parts with, words that numbers follow in the corpus, and common words."""
 
-    members: list[tuple[str, str]]
+    members: Sequence[tuple[str, str]]
     things: list[str]
     common: list[str]
-    taken: frozenset[tuple[str, str]] = field(default=frozenset())
+    taken: Container[tuple[str, str]] = field(default=frozenset())
     syllables: list[str] = field(default_factory=list)
 
     def __post_init__(self):
-        self.taken = frozenset((f.lower(), l.lower()) for f, l in self.members)
+        self.taken = self.members if isinstance(self.members, Register) else frozenset((f.lower(), l.lower()) for f, l in self.members)
         parts = sorted({n.lower()[i : i + 3] for f, l in self.members for n in (f, l) for k in (2, 3, 4) for i in range(0, max(1, len(n) - k + 1), 2) if n[i : i + k].isalpha()})
         self.syllables = parts if len(parts) >= 8 else ["ba", "dor", "kel", "mi", "nu", "ras", "tov", "zel", "ilk", "ona"]
 

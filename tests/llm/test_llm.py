@@ -1,4 +1,6 @@
+import os
 import random
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -6,6 +8,7 @@ import pytest
 
 from framelake.llm import bpe, packing, pii, plans
 from framelake.llm.boosting import BoostedTrees
+from framelake.llm.words import Register, Words
 
 
 @pytest.fixture(scope="module")
@@ -214,6 +217,55 @@ def test_a_fitted_redactor_is_kept(redactor, tmp_path):
     assert pii.Redactor.load(str(tmp_path / "r")).find([text]) == redactor.find([text])
 
 
+def test_words_beyond_those_held_are_looked_up(spark, data, redactor, tmp_path):
+    """Statistics, planting and cases are the same however few words are held in memory."""
+    docs, members = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/members.parquet")
+    whole, few = (pii.lexicon_of(docs, members, max_words=n) for n in (200_000, 25))
+    assert len(few.words.held) == 25 and len(whole.words) == len(few.words) > 1000
+    assert dict(few.words.items()) == dict(whole.words) == {w: few.words[w] for w in few.words}
+    assert few.words.get("nowhere") is None and "nowhere" not in few.words
+    assert pii.pools_of(few) == pii.pools_of(whole)
+    rows = lambda r: sorted(tuple(x) for x in pii.spans(docs, r).collect())
+    by_file = replace(redactor, lexicon=few)
+    want = rows(replace(redactor, lexicon=whole))
+    assert rows(by_file) == want and len(want) > 10
+    by_file.save(str(tmp_path / "r"))
+    loaded = pii.Redactor.load(str(tmp_path / "r"))
+    assert loaded.lexicon.words.path != few.words.path and rows(loaded) == want
+
+
+def test_a_file_of_words_is_read_where_spark_put_it(spark):
+    words = Words.of(iter([("often", (9, 1)), ("once", (1, 0))]), 1)
+    words.share(spark.sparkContext)
+    words.path = os.path.join("/gone", os.path.basename(words.path))
+    assert sorted(spark.sparkContext.parallelize(["often", "once", "never"], 3).map(words.get).collect(), key=str) == [(1, 0), (9, 1), None]
+
+
+def test_a_register_beyond_memory_is_looked_up(spark, data, redactor, tmp_path):
+    """Names, planting and cases are the same whether members are held in memory or not; they were refused."""
+    from framelake.llm import planting
+
+    odd = spark.createDataFrame([(None, "Alone"), ("Solo", None), (" Žo\u00ebl ", "O'Hara"), ("žo\u00ebl", "o'hara"), ("", " "), ("A", "Bo")], "first_name string, last_name string")
+    docs, members = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/members.parquet").select("first_name", "last_name").union(odd)
+    whole, filed = (pii.lexicon_of(docs, members, max_members=n) for n in (1_000_000, 3))
+    assert isinstance(filed.members, Register) and list(filed.members) == sorted(whole.members) and len(filed.members) == len(whole.members)
+    assert dict(whole.words) == dict(filed.words)  # of which words follow a first name
+    for mine, held in ((filed.first, whole.first), (filed.last, whole.last), (filed.last_written, whole.last_written)):
+        for w in (*whole.first, *whole.last_written, "", "nobody", "b", "alon"):
+            assert (w in mine) == (w in held), w
+    for f, l in [*whole.members, ("nobody", "none"), ("", "alone")]:
+        assert ((f, l) in filed.members) == ((f, l) in whole.members)
+        assert sorted(pii._near(filed, f)) == sorted(pii._near(whole, f)) and sorted(pii._bearers(filed, l)) == sorted(pii._bearers(whole, l))
+    mine, held = pii.pools_of(filed), pii.pools_of(whole)
+    plant = lambda pools: [planting.planted("The harbour was quiet again. Nobody paid for the missing map.", random.Random(i), planting.TRAIN, pools) for i in range(40)]
+    assert plant(mine) == plant(held) and (mine.syllables, mine.things, mine.common) == (held.syllables, held.things, held.common)
+    rows = lambda r: sorted(tuple(x) for x in pii.spans(docs, r).collect())
+    want = rows(replace(redactor, lexicon=whole))
+    few = pii.lexicon_of(docs, members, max_words=25, max_members=3)  # two files
+    replace(redactor, lexicon=few).save(str(tmp_path / "r"))
+    assert rows(replace(redactor, lexicon=filed)) == rows(pii.Redactor.load(str(tmp_path / "r"))) == want and len(want) > 10
+
+
 def test_null_empty_and_long_texts(spark, redactor):
     long = "No minister paid for the long queue. " * 3000 + "Reach me on 0555/7654-63."
     df = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, " \n", "a"), (4, long, "a"), (4, long, "a")], "doc_id long, text string, kind string")
